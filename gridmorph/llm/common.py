@@ -7,7 +7,9 @@ names in ``spark.checkpoint.dir``; it is set here only where it is unset.
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -60,6 +62,15 @@ def numbered(df: DataFrame, *order) -> DataFrame:
     return flat.withColumn("local_", local).join(starts, "part_").withColumn("rank", F.col("start_") + F.col("local_")).drop("part_", "local_", "start_")
 
 
+def worker_cache(key: str, make):
+    """make() once for each Python worker process and key: tasks of one worker share compiled models and memos."""
+    module = sys.modules.setdefault("gridmorph_worker_cache", types.ModuleType("gridmorph_worker_cache"))
+    held = module.__dict__.setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 # --- Arrow and numpy ------------------------------------------------------------------
 
 
@@ -124,32 +135,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n - 1) modulo 2**64, kept by the worker."""
+    held = worker_cache("powers", dict)
+    got = held.get(base)
+    if got is None or len(got) < n:
+        got = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
+        got[0] = 1
+        held[base] = np.cumprod(got, out=got)
+    return got[:n]
+
+
 class Rolling:
     """Polynomial hashes modulo 2**64 of any span of a sequence of 64-bit symbols."""
 
     def __init__(self, symbols: np.ndarray, base: int):
         n = len(symbols)
-        inverse = pow(base, -1, 1 << 64)
-        power = np.full(n + 1, base, np.uint64)
-        power[0] = 1
-        np.cumprod(power, out=power)
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(symbols.astype(np.uint64) * power[:n], out=self.prefix[1:])
-        self.back = np.full(n + 1, inverse, np.uint64)
-        self.back[0] = 1
-        np.cumprod(self.back, out=self.back)
+        np.cumsum(symbols * _powers(base, n), out=self.prefix[1:])
+        self.back = _powers(pow(base, -1, 1 << 64), n + 1)
 
     def spans(self, starts, ends) -> np.ndarray:
         return mix64((self.prefix[ends] - self.prefix[starts]) * self.back[starts])
 
+    def windows(self, width: int) -> np.ndarray:
+        """Of every window of ``width`` symbols."""
+        n = len(self.prefix) - width
+        return mix64((self.prefix[width:] - self.prefix[:n]) * self.back[:n]) if n > 0 else np.zeros(0, np.uint64)
+
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: A 64-bit symbol for each byte value.
+BYTE_SYMBOLS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
 def covered(n: int, starts: np.ndarray, width) -> np.ndarray:
     """Marks of the positions 0..n-1 that spans [start, start + width) cover."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1) if len(starts) < 64 else edge.__iadd__(np.bincount(starts, minlength=n + 1).astype(np.int32))
-    ends = np.minimum(starts + width, n)
-    edge -= np.bincount(ends, minlength=n + 1).astype(np.int32) if len(ends) else 0
+    edge = np.bincount(starts, minlength=n + 1)[: n + 1]
+    edge -= np.bincount(np.minimum(starts + width, n), minlength=n + 1)[: n + 1]
     return np.cumsum(edge[:n]) > 0

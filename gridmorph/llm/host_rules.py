@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Rolling, is_space, mix64, sliced, stored, utf8, words_of
+from .common import BASES, BYTE_SYMBOLS, Rolling, is_space, mix64, sliced, stored, utf8, words_of
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -60,7 +60,7 @@ def text_signals(column: pa.Array) -> list[np.ndarray]:
     np.cumsum(~is_space(data) & ((data & 0xC0) != 0x80), out=points[1:])
     symbols = np.zeros(len(data) + 1, np.int64)
     np.cumsum(SYMBOLS[data], out=symbols[1:])
-    keys = Rolling(data.astype(np.uint64) + np.uint64(1), BASES[0]).spans(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    keys = Rolling(BYTE_SYMBOLS[data], BASES[0]).spans(starts, ends)
     whole = data.tobytes()
     lines = np.array([duplicate_lines(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
     return [

@@ -37,6 +37,12 @@ def op4_source_mixing(spark, sf_dir):
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op5_cover_anchors(spark, sf_dir):
+    from .cover_anchors import repeated_windows
+
+    return repeated_windows(read_table(spark, sf_dir, "documents"), 35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_host_rules(spark, sf_dir):
     from .host_rules import with_verdicts
 
@@ -63,6 +69,6 @@ def op10_bit_packing(spark, sf_dir):
     return packed_ids(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_exact_topk, op4_source_mixing, op6_host_rules, op8_piece_transducer, op9_toxicity, op10_bit_packing)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_exact_topk, op4_source_mixing, op5_cover_anchors, op6_host_rules, op8_piece_transducer, op9_toxicity, op10_bit_packing)}
 
 SQL = {}
