@@ -17,6 +17,12 @@ def tokenizer_path(name: str, package: str = TOKENIZERS) -> str:
     return str(importlib.import_module(package).path(name))
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import repeated_bytes
+
+    return repeated_bytes(read_table(spark, sf_dir, "documents"), 100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_token_counts(spark, sf_dir):
     from .token_counts import token_counts
 
@@ -69,6 +75,6 @@ def op10_bit_packing(spark, sf_dir):
     return packed_ids(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_exact_topk, op4_source_mixing, op5_cover_anchors, op6_host_rules, op8_piece_transducer, op9_toxicity, op10_bit_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_exact_topk, op4_source_mixing, op5_cover_anchors, op6_host_rules, op8_piece_transducer, op9_toxicity, op10_bit_packing)}
 
 SQL = {}
