@@ -56,6 +56,12 @@ def op6_host_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
 
+def op7_simhash(spark, sf_dir):
+    from .simhash import near_components
+
+    return near_components(read_table(spark, sf_dir, "documents"), words=3, most=3)
+
+
 def op8_piece_transducer(spark, sf_dir):
     from .piece_transducer import encoded
 
@@ -75,6 +81,6 @@ def op10_bit_packing(spark, sf_dir):
     return packed_ids(read_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_exact_topk, op4_source_mixing, op5_cover_anchors, op6_host_rules, op8_piece_transducer, op9_toxicity, op10_bit_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_exact_topk, op4_source_mixing, op5_cover_anchors, op6_host_rules, op7_simhash, op8_piece_transducer, op9_toxicity, op10_bit_packing)}
 
 SQL = {}
