@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 MARK = "▁"
 PARTS_KEPT = 300_000
 #: Scores below this only say "last": such a piece costs more than all others, less than a byte.
@@ -140,8 +141,12 @@ class PieceTransducer:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def encoded(docs: DataFrame, model_path: str) -> DataFrame:
-    """A row for each document with the figures of its ids, which are decoded again and compared with the text."""
+def encoded(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
+    """A row for each document with the figures of its ids, which are decoded again and compared with the text.
+
+    With ``with_ids`` the ids themselves follow as an array.
+    """
+    schema = SCHEMA + (", ids array<int>" if with_ids else "")
     model = Path(model_path).read_bytes()
 
     def run(batches):
@@ -150,22 +155,21 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                rows = []
+                rows, ids = [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     text = text or ""
                     packed, n, cost, fell = fst.encode_packed(text)
-                    raw = b"".join([table[i] for i in np.frombuffer(packed, "<u4").tolist()])
+                    own_ids = np.frombuffer(packed, "<u4")
+                    raw = b"".join([table[i] for i in own_ids.tolist()])
                     raw = raw[1:] if fst.prefix and raw[:1] == b" " else raw
                     own = text.encode()
                     rows.append((doc_id, len(own), n, fell, cost, zlib.crc32(packed), hashlib.sha256(raw).hexdigest(), raw == own.replace(MARK.encode(), b" ")))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")]) if rows else None
-
-    def typed(batches):
-        import pyarrow as pa
-
-        kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.string(), pa.bool_()]
-        for b in run(batches):
-            if b is not None:
-                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(b.columns, kinds, strict=True)], b.schema.names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(typed, SCHEMA)
+                    ids.append(own_ids.astype(np.int32))
+                kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.string(), pa.bool_()]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                if with_ids:
+                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -28,12 +28,16 @@ SHARD_SCHEMA = "shard long, doc_ids array<bigint>, ends array<bigint>, data bina
 BUCKET_BYTES = 8 << 20
 
 
-def text_shards(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) as stored shards; null texts count as empty."""
+def text_shards(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """docs(doc_id, text) as stored shards; null texts count as empty.
+
+    With ``carry`` the other columns come along as ``rows``, a list of structs.
+    """
     spark = docs.sparkSession
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if carry else []
 
     def build(batches):
-        n, ids, data, held = 0, [], [], 0
+        n, ids, data, rest, held = 0, [], [], [], 0
 
         def flush():
             nonlocal n
@@ -44,9 +48,13 @@ def text_shards(docs: DataFrame) -> DataFrame:
             n += 1
             ids.clear()
             data.clear()
+            carried = []
+            if others:
+                carried = [pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), pa.concat_arrays(rest))]
+                rest.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int64()), pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), pa.array([offsets[1:].tolist()], pa.list_(pa.int64())), pa.array([raw.tobytes()], pa.binary()), pa.array([len(raw)], pa.int64())],
-                ["shard", "doc_ids", "ends", "data", "size"],
+                [pa.array([shard], pa.int64()), pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), pa.array([offsets[1:].tolist()], pa.list_(pa.int64())), pa.array([raw.tobytes()], pa.binary()), pa.array([len(raw)], pa.int64()), *carried],
+                ["shard", "doc_ids", "ends", "data", "size", *["rows"] * len(carried)],
             )
 
         for b in batches:
@@ -59,14 +67,17 @@ def text_shards(docs: DataFrame) -> DataFrame:
                     held = 0
                 ids.append(piece.column(0))
                 data.append(column)
+                if others:
+                    rest.append(piece.column(3))
                 held += size
         if ids:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part"), *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")] if others else []))
+    schema = SHARD_SCHEMA + (f", rows array<{rows.schema['rest'].dataType.simpleString()}>" if others else "")
     name = f"gridmorph_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.mapInArrow(build, SHARD_SCHEMA).write.format("parquet").bucketBy(n, "shard").option("path", shared_dir(spark)).saveAsTable(name)
+    rows.mapInArrow(build, schema).write.format("parquet").bucketBy(n, "shard").option("path", shared_dir(spark)).saveAsTable(name)
     return spark.table(name)
 
 
@@ -82,7 +93,10 @@ class Shard:
 def each_shard(batches):
     for b in batches:
         for i in range(b.num_rows):
-            row = b.slice(i, 1).to_pylist()[0]
+            one = b.slice(i, 1)
+            row = {name: one.column(k)[0].as_py() for k, name in enumerate(one.schema.names) if name != "rows"}
+            if "rows" in one.schema.names:
+                row["rows"] = one.column("rows").flatten()
             yield Shard(row), row
 
 

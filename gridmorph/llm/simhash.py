@@ -38,6 +38,8 @@ from .common import buckets_for, sliced, stored
 
 BITS = 64
 CELL = 256
+#: For thresholds that need many probes; the rows of one value are then few beside all.
+WIDE_CELL = 2048
 #: Relative cost of one probe row (moved by Spark) and of one candidate (a comparison in numpy).
 PROBE_COST, CANDIDATE_COST = 1.0, 0.01
 
@@ -218,11 +220,11 @@ def forest(group: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np
     return child, label[child]
 
 
-def links(classes: DataFrame, plan, most: int) -> DataFrame:
+def links(classes: DataFrame, plan, most: int, size: int = CELL) -> DataFrame:
     """a, b: verified links between fingerprints whose components are those of all links."""
     rows = probes(classes, plan)
     sizes = rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    k = F.ceil(F.col("n") / CELL).cast("int")
+    k = F.ceil(F.col("n") / size).cast("int")
     met = rows.join(sizes, ["part", "value"]).withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
     cells = met.select("part", "value", "fp", "c", other).select(F.xxhash64("part", "value", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "fp")
@@ -265,3 +267,63 @@ def near_components(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame
     named = rooted.join(least, "label").select("fp", "component_id", "class_size")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(named, "fp").select("doc_id", text.alias("fingerprint"), "component_id", "class_size")
+
+
+# --- dedup ------------------------------------------------------------------------------
+
+
+def shingles(text: bytes, words: int) -> np.ndarray:
+    w = text.lower().split()
+    grams = {b" ".join(g) for g in zip(*[w[k:] for k in range(words)], strict=False)} if len(w) >= words else {b" ".join(w)}
+    return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_words: int = 3, most: int = 9) -> DataFrame:
+    """The documents without near copies, with their own columns: of each group one stays.
+
+    Fingerprints (of print_words-word shingles, within ``most`` bits) propose
+    groups. In each the document with the smallest id leads, and the others go
+    if their sets of ``words``-word shingles have a Jaccard similarity of
+    ``least`` or more with the leader's. Those that have not form groups of
+    their own in the next round, until none is left; so every document that
+    goes has a similar one that stays.
+    """
+    uid = F.monotonically_increasing_id()
+    rows = stored(fingerprints(docs, print_words, keep_rows=True).withColumn("uid", uid))
+    open_ = rows.select("uid", "doc_id", "fp")
+    gone = None
+    while True:
+        classes = stored(open_.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+        labels = component_labels(links(classes, search_plan(classes, most), most, WIDE_CELL))
+        rooted = open_.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        leaders = rooted.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid"))["uid"].alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        members = stored(rooted.join(leaders, "label").select("uid", "doc_id", "fp", "leader"))
+
+        def sets(batches):
+            for b in batches:
+                for part in sliced(b, 2):
+                    packed = [shingles(t or b"", words).tobytes() for t in part.column(2).cast(pa.binary()).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["uid", "leader", "grams"])
+
+        texts = rows.select("uid", F.col("row.text").alias("text")).join(members.select("uid", "leader"), "uid")
+        grams = stored(texts.select("uid", "leader", "text").mapInArrow(sets, "uid long, leader long, grams binary"))
+
+        def compare(batches):
+            for b in batches:
+                close = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(close, pa.bool_())], ["uid", "close"])
+
+        heads = grams.where("uid = leader").select("leader", F.col("grams").alias("own"))
+        verdicts = stored(grams.where("uid <> leader").join(heads, "leader").select("uid", "grams", "own").mapInArrow(compare, "uid long, close boolean"))
+        copies = verdicts.where("close").select("uid")
+        gone = copies if gone is None else gone.unionByName(copies)
+        open_ = stored(members.join(verdicts.where("not close"), "uid").select("uid", "doc_id", "fp"))
+        if open_.count() < 2:
+            break
+    return rows.join(gone, "uid", "left_anti").select("row.*")

@@ -241,9 +241,34 @@ def _merge_bucket(table: pa.Table, width: int) -> pa.Table:
     return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "marks": pa.array([np.packbits(later[a:b]).tobytes() for a, b in zip([0, *ends], ends, strict=False)], pa.binary())})
 
 
-def repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left) of every document."""
-    shards = text_shards(docs)
+def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """The removed bytes without those of characters that keep another byte."""
+    heads = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(heads):
+        return gone
+    return np.repeat(np.logical_and.reduceat(gone, heads), np.diff(np.append(heads, len(data))))
+
+
+def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
+    """The documents with their own columns, their texts (and n_chars, if there) without repeated bytes.
+
+    A character goes only if all of its bytes repeat, so texts stay valid UTF-8.
+    """
+    found = repeated_bytes(docs, width, carry=True)
+    text = F.col("kept").cast("string")
+    columns = {"doc_id": F.col("doc_id"), "text": text}
+    rest = {c: F.col(f"row.`{c}`") for c in docs.columns if c not in columns}
+    if "n_chars" in rest:
+        rest["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[(columns | rest)[c].alias(c) for c in docs.columns])
+
+
+def repeated_bytes(docs: DataFrame, width: int = 100, carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left) of every document.
+
+    With ``carry`` only whole characters go and the other columns follow as struct ``row``.
+    """
+    shards = text_shards(docs, carry)
 
     def ask(batches):
         for shard, _ in each_shard(batches):
@@ -254,8 +279,9 @@ def repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
             yield from sent(shard.id, p.gram[at], n_dictionary, p.gram[at], p.text[at], doc, start, p.locally_hot[asked].astype(np.uint8))
 
     n_dictionary = bucket_count(shards, 0.8)
-    dictionary = stored(answered(shards.mapInArrow(ask, sent_schema(5)), [np.uint64, np.uint64, np.int64, np.uint32, np.uint8], _dictionary, "dictionary"))
+    dictionary = stored(answered(shards.drop("rows").mapInArrow(ask, sent_schema(5)), [np.uint64, np.uint64, np.int64, np.uint32, np.uint8], _dictionary, "dictionary"))
     parsed = shards.join(dictionary, "shard", "left")
+    with_rows = "rows" in parsed.columns
 
     def contest(batches):
         """Contested phrases, by their grams' buckets."""
@@ -277,7 +303,7 @@ def repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
         return _merge_bucket(table, width)
 
     n_merge = bucket_count(shards, 2.0)
-    merged = parsed.mapInArrow(contest, sent_schema(4)).groupBy("bucket").applyInArrow(merge, "shard long, bucket int, marks binary")
+    merged = parsed.drop("rows").mapInArrow(contest, sent_schema(4)).groupBy("bucket").applyInArrow(merge, "shard long, bucket int, marks binary")
     merged = stored(merged.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "marks"))).alias("merged")))
 
     def scatter(batches):
@@ -289,7 +315,7 @@ def repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
                 yield from sent(shard.id, a, n_scatter, a, b, doc, start)
 
     n_scatter = bucket_count(shards, 1.0)
-    scattered = stored(answered(parsed.mapInArrow(scatter, sent_schema(4)), [np.uint64, np.uint32, np.int64, np.uint32], _earliest, "scattered"))
+    scattered = stored(answered(parsed.drop("rows").mapInArrow(scatter, sent_schema(4)), [np.uint64, np.uint32, np.int64, np.uint32], _earliest, "scattered"))
 
     def remove(batches):
         for shard, row in each_shard(batches):
@@ -311,6 +337,8 @@ def repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
                 own[pick] = False
                 starts.append(at[gone | own])
             gone = covered(len(p.data), np.concatenate(starts), width)
+            if carry and len(gone):
+                gone = whole_characters(p.data, gone)
             out = []
             for a, b in zip(p.offsets[:-1].tolist(), p.offsets[1:].tolist(), strict=True):
                 g = gone[a:b]
@@ -318,10 +346,11 @@ def repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
                 out.append((b - a, int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], *([row["rows"]] if with_rows else [])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *["row"] * with_rows])
 
     whole = parsed.join(merged, "shard", "left").join(scattered, "shard", "left")
-    return whole.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    more = f", row {shards.schema['rows'].dataType.elementType.simpleString()}" if with_rows else ""
+    return whole.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + more)
 
 
 def unpacked(answers, counts: np.ndarray, grams: np.ndarray, buckets: int) -> np.ndarray:
