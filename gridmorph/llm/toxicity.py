@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,11 @@ def terms_of(text: str) -> set[tuple[str, bool]]:
     return out
 
 
+def copy_key(text: str) -> int:
+    """The least hash of a text's longer words; near copies mostly agree on it."""
+    return min((xxhash.xxh64_intdigest(w.encode()) >> 1 for w in set(TOKEN.findall(text.lower())) if len(w) > 5), default=0)
+
+
 @dataclass
 class Lexicon:
     words: list[str]
@@ -120,7 +126,9 @@ class Lexicon:
     def features(self, text: str) -> list[float]:
         low = text.lower()
         words = TOKEN.findall(low)
-        kinds = [self.kind(w) for w in words]
+        kinds = list(map(self.memo.get, words))
+        if None in kinds:
+            kinds = [self.kind(w) if k is None else k for w, k in zip(words, kinds, strict=True)]
         hits = [i for i, k in enumerate(kinds) if k]
         if not hits:
             return [0.0] * FEATURES
@@ -194,13 +202,29 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, max_rows: int = 20
 
     counts = sample.mapInArrow(count, "term string, stem boolean, p long, n long").groupBy("term", "stem").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     odds = ((F.col("p") + 0.5) / (pos + 1)) / ((F.col("n") + 0.5) / (neg + 1))
-    least = max(3, round(0.004 * pos))
+    least = max(6, round(0.004 * pos))
     best = counts.where((F.col("p") >= least) & (odds >= ratio) & (F.col("p") > 2 * F.col("n"))).orderBy(F.desc("p"), "term", "stem").limit(max_terms).collect()
+    candidates = [(r["term"], r["stem"]) for r in best]
+
+    def incidence(batches):
+        place = {t: i for i, t in enumerate(candidates)}
+        for b in batches:
+            rows = [(copy_key(t or ""), sorted({place[x] for x in terms_of(t or "") if x in place})) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["key", "terms"])
+
+    # copies of one text prove a term once: a term must be seen in several different texts
+    apart: list[set] = [set() for _ in candidates]
+    for r in sample.where("toxic = 1").select("text").mapInArrow(incidence, "key long, terms array<int>").collect():  # max_rows rows
+        for i in r["terms"]:
+            apart[i].add(r["key"])
+    proven = [c for c, r, keys in zip(candidates, best, apart, strict=True) if len(keys) >= max(least, 0.2 * r["p"])]
     stems: list[str] = []
-    for t in sorted((r["term"] for r in best if r["stem"]), key=lambda s: (len(s), s)):
+    for t in sorted((t for t, stem in proven if stem), key=lambda s: (len(s), s)):
         if not any(t.startswith(s) for s in stems):
             stems.append(t)
-    words = sorted(r["term"] for r in best if not r["stem"] and not any(r["term"].startswith(s) and r["term"] != s for s in stems))
+    seen = {(r["term"], r["stem"]): r["p"] for r in best}
+    # a word that makes up most of its stem's texts stays a term, for its misspellings
+    words = sorted(t for t, stem in proven if not stem and all(2 * seen[t, False] >= seen[s, True] for s in stems if t.startswith(s)))
     lexicon = Lexicon(words, stems)
     packed = (words, stems)
 
