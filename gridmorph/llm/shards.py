@@ -1,6 +1,6 @@
 """Text shards and packed exchanges between them.
 
-A shard holds about two megabytes of whole texts. Shards are written once, as a
+A shard holds about a megabyte of whole texts. Shards are written once, as a
 table bucketed by shard, so that answers can be joined to them again and again
 without moving the text.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, shared_dir, sliced, utf8
+from .common import BLOCK_BYTES, buckets_for, shared_dir, sliced, utf8
 
 SHARD_SCHEMA = "shard long, doc_ids array<bigint>, ends array<bigint>, data binary, size long"
 #: Packed bytes that one bucket gets, about.
@@ -62,7 +62,7 @@ def text_shards(docs: DataFrame, carry: bool = False) -> DataFrame:
             for piece in sliced(b, 1):
                 column = piece.column(1).cast(pa.large_binary()).fill_null(b"")
                 size = len(utf8(column)[0])
-                if ids and held + size > (2 << 20):
+                if ids and held + size > BLOCK_BYTES:
                     yield flush()
                     held = 0
                 ids.append(piece.column(0))

@@ -71,7 +71,9 @@ class Parse:
                 step = min(have, span - have)
                 value = np.minimum(value[:-step], value[step:])
                 have += step
+            del symbols
             anchor = (value & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+            del value
             lengths = np.diff(offsets)
             valid = np.zeros(n + 1, np.int8)
             long = lengths >= width
@@ -87,7 +89,8 @@ class Parse:
             finish[offsets[1:][long] - width] = True
             self.last = np.flatnonzero(finish)
             self.anchor = anchor[self.first]
-            self.gram = grams[self.anchor]
+            # least hashes crowd at the low end; mixed again they spread over all buckets
+            self.gram = mix64(grams[self.anchor] ^ np.uint64(BASES[1]))
             self.doc = np.searchsorted(offsets, self.first, "right") - 1
         else:
             self.gram = np.zeros(0, np.uint64)
