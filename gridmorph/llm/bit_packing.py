@@ -25,7 +25,8 @@ first; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import io
+import hashlib
+import re
 import uuid
 import zlib
 from pathlib import Path
@@ -36,11 +37,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import shared_dir, stored, worker_cache
 
 MAGIC = b"GMBITS01"
 BLOCK_IDS = 1 << 16
-WORDS_KEPT = 400_000
+WORDS_KEPT = 800_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -145,34 +146,79 @@ class Reader:
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+#: A run of Latin letters, with punctuation after it or without.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+
+
 class WordEncoder:
     """Ids of whole texts from those of their distinct words.
 
     Valid for tokenizers whose normaliser and pre-tokenizer act within runs
     free of ASCII white space and drop the white space itself (``by_word``);
-    others encode whole texts.
+    others encode whole texts. Where each pre-token also ends in a token with
+    the end-of-word suffix (``suffix``), new plain words are encoded as one text
+    and its ids are cut behind those tokens.
     """
 
     def __init__(self, definition: bytes, by_word: bool):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_buffer(definition), by_word
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.known: dict[bytes, bytes] = {}
+        parsed = json.loads(definition)
+        suffix = parsed["model"].get("end_of_word_suffix")
+        lower = '"Lowercase"' in json.dumps(parsed.get("normalizer"))
+        self.ends = None
+        if by_word and suffix and lower:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_plain(self, runs: list[bytes]) -> list[bytes]:
+        """Each run is one pre-token: letters only, or punctuation only."""
+        if not runs:
+            return []
+        raw = self._encode([b" ".join(runs).decode()])[0]
+        cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
+        if len(cuts) != len(runs):
+            return self._encode([r.decode() for r in runs])
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def learn(self, words: set[bytes]) -> None:
+        known = self.known
+        plain, other, runs = [], [], set()
+        for w in words:
+            m = PLAIN.fullmatch(w) if self.ends is not None else None
+            if m:
+                core, tail = m[1].lower(), m[2]
+                plain.append((w, core, tail))
+                runs.add(core)
+                if tail:
+                    runs.add(tail)
+            else:
+                other.append(w)
+        new = [r for r in runs if r not in known]
+        known.update(zip(new, self._encode_plain(new), strict=True))
+        for w, core, tail in plain:
+            known[w] = known[core] + known[tail] if tail else known[core]
+        known.update(zip(other, self._encode([w.decode() for w in other]), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
-            return [np.array(x, np.uint32) for x in self._encode([t.decode() for t in texts])]
+            return [np.frombuffer(x, "<u4") for x in self._encode([t.decode() for t in texts])]
         words = [t.split() for t in texts]
+        seen = set().union(*words)
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        known = self.known
-        new = list({w for x in words for w in x if w not in known})
-        for w, ids in zip(new, self._encode([w.decode() for w in new]), strict=True):
-            known[w] = np.array(ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in x]), "<u4") for x in words]
+        if missing := seen - self.known.keys():
+            self.learn(missing)
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, x)), "<u4") for x in words]
 
 
 def words_apart(definition: bytes) -> bool:
@@ -185,7 +231,7 @@ def words_apart(definition: bytes) -> bool:
     fine = all(x["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " " for x in norms)
     pre = d.get("pre_tokenizer") or {}
     pres = pre.get("pretokenizers", [pre] if pre else [])
-    split = bool(pres) and pres[0]["type"] == "Split" and pres[0]["behavior"] == "Removed" and pres[0]["invert"] and "[^\\s" in str(pres[0]["pattern"]) and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in pres[1:])
+    split = bool(pres) and pres[0]["type"] == "Split" and pres[0]["behavior"] == "Removed" and pres[0]["invert"] and "[^\\s" in pres[0]["pattern"].get("Regex", "") and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in pres[1:])
     return fine and split and not any(c.isspace() for x in d.get("added_tokens", []) for c in x["content"])
 
 
@@ -195,6 +241,7 @@ def write_ids(docs: DataFrame, definition: bytes, folder: str, end_id: int) -> D
 
     width = bits_for(max(Tokenizer.from_buffer(definition).get_vocab_size(), end_id + 1))
     by_word = words_apart(definition)
+    digest = hashlib.sha256(definition).hexdigest()
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def write(batches):
@@ -206,7 +253,7 @@ def write_ids(docs: DataFrame, definition: bytes, folder: str, end_id: int) -> D
             for at in range(0, b.num_rows, 400):
                 part = b.slice(at, 400)
                 if out is None:
-                    encoder = WordEncoder(definition, by_word)
+                    encoder = worker_cache(f"words-{digest}", lambda: WordEncoder(definition, by_word))
                     store, where = open_fs(folder)
                     store.create_dir(where, recursive=True)
                     name = f"ids-{part.column(2)[0].as_py():08d}.bin"
@@ -257,7 +304,3 @@ def packed_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
     """Writes the files below folder and gives what they hold, read back."""
     folder = folder or shared_dir(docs.sparkSession)
     return read_ids(write_ids(docs, Path(tokenizer_path).read_bytes(), folder, end_id), folder)
-
-
-def open_bytes(data: bytes):
-    return pa.BufferReader(io.BytesIO(data).getvalue())
