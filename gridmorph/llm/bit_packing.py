@@ -41,7 +41,7 @@ from .common import shared_dir, stored, worker_cache
 
 MAGIC = b"GMBITS01"
 BLOCK_IDS = 1 << 16
-WORDS_KEPT = 800_000
+WORDS_KEPT = 600_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -211,7 +211,8 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.frombuffer(x, "<u4") for x in self._encode([t.decode() for t in texts])]
-        words = [t.split() for t in texts]
+        # lower-casing first makes fewer words; not where the text may hold a special token's letters
+        words = [t.lower().split() if self.ends is not None and b"<|" not in t else t.split() for t in texts]
         seen = set().union(*words)
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
