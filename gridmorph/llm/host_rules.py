@@ -105,5 +105,5 @@ def host_rates(measured: DataFrame) -> DataFrame:
 def with_verdicts(docs: DataFrame, reject: float = 0.5, keep_rows: bool = False) -> DataFrame:
     """signals() with host_rate and ``kept``: neither the base rules nor the host's verdict reject the document."""
     measured = stored(signals(docs, keep_rows))
-    joined = measured.join(host_rates(measured), F.col("source").eqNullSafe(F.col("host")))
+    joined = measured.join(stored(host_rates(measured)), F.col("source").eqNullSafe(F.col("host")))
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") < reject)).drop("host", "n", "failed")

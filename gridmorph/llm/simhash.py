@@ -206,7 +206,7 @@ def forest(group: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np
     done, links = 0, []
     total = np.cumsum(later)
     while done < n:
-        stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + (1 << 21), "right")))
+        stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + (1 << 19), "right")))
         count = later[done:stop]
         a = np.repeat(np.arange(done, stop), count)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
@@ -290,40 +290,57 @@ def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_word
     Fingerprints (of print_words-word shingles, within ``most`` bits) propose
     groups. In each the document with the smallest id leads, and the others go
     if their sets of ``words``-word shingles have a Jaccard similarity of
-    ``least`` or more with the leader's. Those that have not form groups of
-    their own in the next round, until none is left; so every document that
-    goes has a similar one that stays.
+    ``least`` or more with the leader's. Those that have not are compared with
+    each other: in pairs of chunks of their group, all pairs within ``most`` bits
+    by their shingle sets; of each component of similar ones the smallest id
+    stays. So every document that goes is linked to one that stays.
     """
     uid = F.monotonically_increasing_id()
     rows = stored(fingerprints(docs, print_words, keep_rows=True).withColumn("uid", uid))
-    open_ = rows.select("uid", "doc_id", "fp")
-    gone = None
-    while True:
-        classes = stored(open_.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
-        labels = component_labels(links(classes, search_plan(classes, most), most, WIDE_CELL))
-        rooted = open_.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        leaders = rooted.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid"))["uid"].alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        members = stored(rooted.join(leaders, "label").select("uid", "doc_id", "fp", "leader"))
-
-        def sets(batches):
-            for b in batches:
-                for part in sliced(b, 2):
-                    packed = [shingles(t or b"", words).tobytes() for t in part.column(2).cast(pa.binary()).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["uid", "leader", "grams"])
-
-        texts = rows.select("uid", F.col("row.text").alias("text")).join(members.select("uid", "leader"), "uid")
-        grams = stored(texts.select("uid", "leader", "text").mapInArrow(sets, "uid long, leader long, grams binary"))
-
-        def compare(batches):
-            for b in batches:
-                close = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(close, pa.bool_())], ["uid", "close"])
-
-        heads = grams.where("uid = leader").select("leader", F.col("grams").alias("own"))
-        verdicts = stored(grams.where("uid <> leader").join(heads, "leader").select("uid", "grams", "own").mapInArrow(compare, "uid long, close boolean"))
-        copies = verdicts.where("close").select("uid")
-        gone = copies if gone is None else gone.unionByName(copies)
-        open_ = stored(members.join(verdicts.where("not close"), "uid").select("uid", "doc_id", "fp"))
-        if open_.count() < 2:
-            break
-    return rows.join(gone, "uid", "left_anti").select("row.*")
+    prints = rows.select("uid", "doc_id", "fp")
+    classes = stored(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    labels = component_labels(links(classes, search_plan(classes, most), most, WIDE_CELL))
+    rooted = prints.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid"))["uid"]
+    leaders = rooted.groupBy("label").agg(first.alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(rooted.join(leaders, "label").select("uid", "doc_id", "fp", "leader"))
+
+    def sets(batches):
+        for b in batches:
+            for part in sliced(b, 2):
+                packed = [shingles(t or b"", words).tobytes() for t in part.column(2).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["uid", "leader", "grams"])
+
+    texts = rows.select("uid", F.col("row.text").alias("text")).join(members.select("uid", "leader"), "uid")
+    grams = stored(texts.select("uid", "leader", "text").mapInArrow(sets, "uid long, leader long, grams binary"))
+
+    def compare(batches):
+        for b in batches:
+            close = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(close, pa.bool_())], ["uid", "close"])
+
+    heads = grams.where("uid = leader").select("leader", F.col("grams").alias("own"))
+    verdicts = stored(grams.where("uid <> leader").join(heads, "leader").select("uid", "grams", "own").mapInArrow(compare, "uid long, close boolean"))
+    apart = stored(members.join(verdicts.where("not close"), "uid").select("uid", "doc_id", "fp", "leader"))
+    k = F.ceil(F.col("n") / CELL).cast("int")
+    sizes = apart.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = apart.join(sizes, "leader").withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("uid"), "k").cast("int"))
+    spread = dealt.select("uid", "fp", "leader", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    cells = spread.select("uid", "fp", F.xxhash64("leader", F.least("c", "o"), F.greatest("c", "o")).alias("cell"))
+
+    def pairs(table: pa.Table) -> pa.Table:
+        ids, fp = table.column("uid").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+        own = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
+        label, out = np.arange(len(ids)), []
+        for i in range(len(ids)):
+            for j in np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= most) + i + 1:
+                if label[i] != label[j] and similarity(own[i], own[j]) >= least:
+                    out.append((ids[i], ids[j]))
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    similar = cells.join(grams.select("uid", "grams"), "uid").groupBy("cell").applyInArrow(pairs, "a long, b long").distinct()
+    groups = component_labels(similar).withColumnRenamed("node", "uid").join(apart.select("uid", "doc_id"), "uid")
+    stay = groups.groupBy("label").agg(first.alias("stay"))
+    copies = verdicts.where("close").select("uid").unionByName(groups.join(stay, "label").where("uid <> stay").select("uid"))
+    return rows.join(copies, "uid", "left_anti").select("row.*")
