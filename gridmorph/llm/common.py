@@ -14,6 +14,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 1 << 20
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of some megabytes: texts are long, and a worker holds a batch several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: a durable cut of the lineage."""
     path = shared_dir(df.sparkSession)
+    bounded_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -88,9 +97,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def text_in(column: pa.Array) -> pa.Array:
+    """A column of texts, or the field ``text`` of a column of rows."""
+    return pc.struct_field(column, "text") if pa.types.is_struct(column.type) else column
+
+
 def sliced(batch: pa.RecordBatch, column: int, most: int = BLOCK_BYTES):
-    """The batch in runs of rows whose column holds about ``most`` bytes each, at least one row."""
-    _, offsets = utf8(batch.column(column))
+    """The batch in runs of rows whose text column holds about ``most`` bytes each, at least one row."""
+    _, offsets = utf8(text_in(batch.column(column)))
     row, n = 0, batch.num_rows
     while row < n:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)

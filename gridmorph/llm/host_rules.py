@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, BYTE_SYMBOLS, Rolling, is_space, mix64, sliced, stored, utf8, words_of
+from .common import BASES, BYTE_SYMBOLS, Rolling, is_space, mix64, sliced, stored, text_in, utf8, words_of
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -74,16 +74,17 @@ def text_signals(column: pa.Array) -> list[np.ndarray]:
 
 def signals(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
     """doc_id, source, the signals and base_failed; with the whole rows as struct ``row`` if asked."""
-    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_rows else []
-    chosen = docs.select("text", "doc_id", "source", *kept)
+    first = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep_rows else F.col("text")
+    chosen = docs.select(first, "doc_id", "source")
+    skip = 0 if keep_rows else 1
     names = [x.split()[0] for x in SIGNALS.split(", ")]
 
     def measure(batches):
         for b in batches:
             for part in sliced(b, 0):
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *map(pa.array, text_signals(part.column(0)))], [*part.schema.names[1:], *names])
+                yield pa.RecordBatch.from_arrays([*part.columns[skip:], *map(pa.array, text_signals(text_in(part.column(0))))], [*part.schema.names[skip:], *names])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[skip:])
     out = chosen.mapInArrow(measure, f"{fields}, {SIGNALS}")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, sliced, stored
+from .common import buckets_for, sliced, stored, text_in
 
 BITS = 64
 CELL = 256
@@ -58,16 +58,17 @@ def fingerprint(text: bytes, words: int) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 3, keep_rows: bool = False) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long); with the whole rows as struct ``row`` if asked."""
-    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_rows else []
-    chosen = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *kept)
+    first = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep_rows else F.col("text")
+    chosen = docs.select(first, F.col("doc_id").cast("long").alias("doc_id"))
+    skip = 0 if keep_rows else 1
 
     def run(batches):
         for b in batches:
             for part in sliced(b, 0):
-                fp = np.array([fingerprint(t or b"", words) for t in part.column(0).cast(pa.binary()).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(fp.view(np.int64))], [*part.schema.names[1:], "fp"])
+                fp = np.array([fingerprint(t or b"", words) for t in text_in(part.column(0)).cast(pa.binary()).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*part.columns[skip:], pa.array(fp.view(np.int64))], [*part.schema.names[skip:], "fp"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[skip:])
     return chosen.mapInArrow(run, f"{fields}, fp long")
 
 
