@@ -34,13 +34,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths handed out by this driver, for release().
+HANDED_OUT: list[str] = []
+
+
+def release(spark: SparkSession, keep: DataFrame) -> None:
+    """Deletes the intermediate tables made so far, but for those that ``keep`` reads.
+
+    For callers that know that earlier results have been written elsewhere.
+    """
+    files = keep.inputFiles()
+    jvm = spark.sparkContext._jvm
+    for path in list(HANDED_OUT):
+        if not any(path.rpartition("/")[2] in f for f in files):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            HANDED_OUT.remove(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path below the folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="gridmorph-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    HANDED_OUT.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return HANDED_OUT[-1]
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ CELL = 256
 #: For thresholds that need many probes; the rows of one value are then few beside all.
 WIDE_CELL = 2048
 #: Relative cost of one probe row (moved by Spark) and of one candidate (a comparison in numpy).
-PROBE_COST, CANDIDATE_COST = 1.0, 0.01
+PROBE_COST, CANDIDATE_COST = 1.0, 0.005
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -285,7 +285,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_words: int = 3, most: int = 9) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_words: int = 3, most: int = 8) -> DataFrame:
     """The documents without near copies, with their own columns: of each group one stays.
 
     Fingerprints (of print_words-word shingles, within ``most`` bits) propose
