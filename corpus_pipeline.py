@@ -7,9 +7,11 @@ again before the next one.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmorph.llm.common import read_table, stored
+from gridmorph.llm.common import read_table, release, stored
 from gridmorph.llm.host_rules import with_verdicts
 from gridmorph.llm.piece_transducer import encoded
 from gridmorph.llm.queries import PIECES, tokenizer_path
@@ -18,26 +20,42 @@ from gridmorph.llm.source_mixing import mixed
 from gridmorph.llm.suffix_dedup import without_repeats
 
 
+def _stage(f):
+    """The stage before has been written when a stage begins, so its intermediate tables can go."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, docs)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor their host's verdict reject."""
     return with_verdicts(docs, keep_rows=True).where("kept").select("row.*")
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
     return deduplicated(docs, words=5, least=0.8)
 
 
+@_stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 100-byte strings that start earlier."""
     return without_repeats(docs, 100)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's share of the mix asks for."""
     return mixed(docs, (1, 2, 3), 1.0, 3.0)
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document of the mix, with the round trip's figures."""
     return encoded(docs, tokenizer_path(PIECES), with_ids=True)
