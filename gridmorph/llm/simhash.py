@@ -312,7 +312,7 @@ def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_word
                 packed = [shingles(t or b"", words).tobytes() for t in part.column(2).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["uid", "leader", "grams"])
 
-    texts = rows.select("uid", F.col("row.text").alias("text")).join(members.select("uid", "leader"), "uid")
+    texts = rows.select("uid", F.col("row.text").alias("text")).join(members.select("uid", "leader").hint("merge"), "uid")
     grams = stored(texts.select("uid", "leader", "text").mapInArrow(sets, "uid long, leader long, grams binary"))
 
     def compare(batches):
@@ -344,4 +344,5 @@ def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_word
     groups = component_labels(similar).withColumnRenamed("node", "uid").join(apart.select("uid", "doc_id"), "uid")
     stay = groups.groupBy("label").agg(first.alias("stay"))
     copies = verdicts.where("close").select("uid").unionByName(groups.join(stay, "label").where("uid <> stay").select("uid"))
-    return rows.join(copies, "uid", "left_anti").select("row.*")
+    # both joins move the rows at every size: what they join grows with the corpus
+    return rows.join(copies.hint("merge"), "uid", "left_anti").select("row.*")
