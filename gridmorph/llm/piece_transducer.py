@@ -1,21 +1,26 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is the composition of three machines compiled from the model:
-the normaliser (a mark for each space and one in front of the text), the pieces
-(one path per piece, its cost the negated score) and byte fallback (one path
-per UTF-8 byte, dearer than any piece). Composed with a text it becomes a
+The transducer is the composition of machines compiled from the model: the
+normaliser (a mark for each space and one in front of the text), the pieces
+(one path per piece, its cost the negated score), byte fallback (one path per
+UTF-8 byte, dearer than any piece) and, for a BPE model, the merge order (one
+state per piece; piece v after piece u costs 0 if merging the characters of uv
+ends in u, v, and is infinite otherwise). Composed with a text it becomes a
 lattice of its positions, and encoding is the lattice's shortest path in the
 tropical semiring (min, +); of equal paths the one whose last piece is longest,
 then so backwards. Decoding runs the machines in reverse.
 
+BPE scores rank merges, so the cheapest sum alone is not the library's answer.
+With the merge order exactly one path is finite, and it is: merges inside uv
+come in the same order whatever surrounds them, so a sequence is the result of
+merging if and only if each two neighbours are. This holds for every prefix
+too, so each position of the lattice keeps one state. Merge-order arcs are
+compiled when first met.
+
 The lattice falls apart where no piece crosses: in front of a run of marks, if
 no piece holds a mark after another character. Such parts are solved once per
 worker, and parts shared by many texts reuse the path.
 
-The path minimises the sum of the costs. For a unigram model that is the
-library's own segmentation; for a BPE model, whose scores only rank merges, it
-is the cheapest segmentation under these scores and need not be the library's.
-
 Defined cases: null and empty texts have no pieces; a mark character in a text
 cannot be told from a space once normalised and is decoded as one; repeated
 rows give one row each; an empty table gives no rows; further columns are
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from pathlib import Path
 
@@ -36,7 +42,11 @@ from pyspark.sql import functions as F
 
 
 MARK = "▁"
-PARTS_KEPT = 300_000
+PARTS_KEPT = 500_000
+#: Merge-order arcs a worker keeps; beyond it they are compiled anew, so it bounds memory only.
+ARCS_KEPT = 500_000
+#: State in front of a part; pieces come below the characters that become bytes, all below this.
+START = (1 << 21) - 1
 #: Scores below this only say "last": such a piece costs more than all others, less than a byte.
 SENTINEL = -1e6
 SCHEMA = "doc_id long, n_bytes long, n_pieces long, n_fallback long, cost double, ids_crc32 long, decoded_sha256 string, round_trip boolean"
@@ -53,11 +63,20 @@ class PieceTransducer:
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("this normaliser is not compiled here: only the identity with escaped spaces is")
         self.prefix = spec.add_dummy_prefix
+        self.merging = proto.trainer_spec.model_type == pb.TrainerSpec.BPE
+        if not self.merging and proto.trainer_spec.model_type != pb.TrainerSpec.UNIGRAM:
+            raise ValueError("only BPE and unigram models are compiled here")
         self.pieces = [p.piece for p in proto.pieces]
         kinds = [p.type for p in proto.pieces]
         kind = pb.ModelProto.SentencePiece
+        if self.merging and any(k in (kind.USER_DEFINED, kind.UNUSED) for k in kinds):
+            raise ValueError("user-defined and unused pieces of BPE models are not compiled here")
+        self.rank = {p.piece: p.score for p in proto.pieces if p.type == kind.NORMAL}
+        self.arcs: dict[int, bool] = {}
         self.byte_ids = [0] * 256
         self.bytes_of = {}
+        self.sizes: dict[int, int] = {}
+        self.costs = np.zeros(len(kinds))
         machine = ahocorasick.Automaton()
         worst = max((-p.score for p in proto.pieces if p.score > SENTINEL), default=0.0)
         for i, p in enumerate(proto.pieces):
@@ -67,46 +86,88 @@ class PieceTransducer:
                 self.bytes_of[i] = b
             elif p.type in (kind.NORMAL, kind.USER_DEFINED):
                 machine.add_word(p.piece, (len(p.piece), min(-p.score, worst + 5.0), i))
+                self.sizes[i], self.costs[i] = len(p.piece), min(-p.score, worst + 5.0)
         machine.make_automaton()
         self.machine, self.byte_cost = machine, worst + 10.0
-        self.fallback = bool(self.bytes_of)
-        self.unknown = next((i for i, k in enumerate(kinds) if k == kind.UNKNOWN), 0)
+        if len(self.bytes_of) < 256:
+            raise ValueError("models without byte fallback are not compiled here")
+        self.is_byte = np.zeros(len(kinds), bool)
+        self.is_byte[self.byte_ids] = True
+        self.costs[self.byte_ids] = self.byte_cost
         self.apart = not any(MARK in p.lstrip(MARK) for p, k in zip(self.pieces, kinds, strict=True) if k in (kind.NORMAL, kind.USER_DEFINED))
-        self.known: dict[str, tuple[bytes, int, int, float]] = {}
+        self.known: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
-    def path(self, part: str) -> tuple[list[int], float, int]:
-        """Shortest path of one part: ids, cost, fallback bytes."""
-        n = len(part)
-        best = [0.0] + [float("inf")] * n
-        back: list = [None] * (n + 1)
-        ends: list[list] = [[] for _ in range(n)]
+    def merge(self, text: str) -> list[str]:
+        """The characters of a short text after all merges: the best score first, of equal ones the leftmost."""
+        symbols, rank = list(text), self.rank
+        while True:
+            found = [(-rank[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if a + b in rank]
+            if not found:
+                return symbols
+            i = min(found)[1]
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+
+    def follows(self, before: int, piece: int) -> bool:
+        """Whether the merge order has a finite arc from one state to a piece; kept for later texts."""
+        if len(self.arcs) > ARCS_KEPT:
+            self.arcs.clear()
+        size, v = len(self.pieces), self.pieces[piece]
+        u = [] if before == START else [self.pieces[before] if before < size else chr(before - size)]
+        known = self.arcs[before << 21 | piece] = self.merge("".join(u) + v) == [*u, v]
+        return known
+
+    def merge_states(self, part: str) -> list[int]:
+        """The one finite state at each position under the merge order; -1 or a fallback state where no piece ends."""
+        arcs, size = self.arcs, len(self.pieces)
+        last = [START] + [-1] * len(part)
+        for end, (length, _, piece) in self.machine.iter(part):
+            if last[end + 1] < 0:
+                start = end + 1 - length
+                before = last[start]
+                if before < 0:  # no piece reached this position: the character in front of it is bytes
+                    before = last[start] = size + ord(part[start - 1])
+                fits = arcs.get(before << 21 | piece)
+                if self.follows(before, piece) if fits is None else fits:
+                    last[end + 1] = piece
+        return last
+
+    def cheapest_states(self, part: str) -> list[int]:
+        """The last piece of the cheapest path to each position, -1 for bytes."""
+        best = [0.0] + [float("inf")] * len(part)
+        last = [START] + [-1] * len(part)
+        ends: list[list] = [[] for _ in part]
         for end, arc in self.machine.iter(part):
             ends[end].append(arc)
-        for end in range(n):
-            for length, cost, piece in sorted(ends[end], reverse=True):  # longest first, so that it wins a tie
-                total = best[end + 1 - length] + cost
-                if total < best[end + 1]:
-                    best[end + 1], back[end + 1] = total, (length, piece)
+        for end, arcs in enumerate(ends):
+            for length, cost, piece in sorted(arcs, reverse=True):  # longest first, so that it wins a tie
+                if best[end + 1 - length] + cost < best[end + 1]:
+                    best[end + 1], last[end + 1] = best[end + 1 - length] + cost, piece
             if self.byte_cost + best[end] < best[end + 1]:
                 total = best[end] + self.byte_cost * len(part[end].encode())
                 if total < best[end + 1]:
-                    best[end + 1], back[end + 1] = total, (1, None)
+                    best[end + 1], last[end + 1] = total, -1
+        return last
+
+    def path(self, part: str) -> list[int]:
+        """Ids of one part's shortest path."""
+        last = self.merge_states(part) if self.merging else self.cheapest_states(part)
+        sizes = self.sizes
         ids: list[int] = []
-        fell, at = 0, n
+        at = len(part)
         while at:
-            length, piece = back[at]
-            if piece is None:
-                raw = part[at - 1].encode()
-                fell += len(raw)
-                ids.extend([self.byte_ids[b] for b in reversed(raw)] if self.fallback else [self.unknown])
-            else:
+            piece = last[at]
+            length = sizes.get(piece)
+            if length:
                 ids.append(piece)
-            at -= length
+                at -= length
+            else:
+                at -= 1
+                ids.extend([self.byte_ids[b] for b in reversed(part[at].encode())])
         ids.reverse()
-        return ids, best[n], fell
+        return ids
 
     def parts(self, text: str) -> list[str]:
         if not self.apart:
@@ -118,16 +179,19 @@ class PieceTransducer:
         known = self.known
         if len(known) > PARTS_KEPT:
             known.clear()
-        found = []
-        for part in self.parts(self.normalise(text)):
-            x = known.get(part)
-            if x is None:
-                ids, cost, fell = self.path(part)
-                x = (np.array(ids, "<u4").tobytes(), len(ids), cost, fell)
-                if len(part) <= 64:
-                    known[part] = x
-            found.append(x)
-        return b"".join([x[0] for x in found]), sum([x[1] for x in found]), float(sum([x[2] for x in found])), sum([x[3] for x in found])
+        parts = self.parts(self.normalise(text))
+        found = list(map(known.get, parts))
+        if None in found:
+            for k, x in enumerate(found):
+                if x is None:
+                    part = parts[k]
+                    ids = self.path(part)
+                    found[k] = x = struct.pack(f"<{len(ids)}I", *ids)
+                    if len(part) <= 64:
+                        known[part] = x
+        packed = b"".join(found)
+        ids = np.frombuffer(packed, "<u4")
+        return packed, len(ids), float(self.costs[ids].sum()), int(self.is_byte[ids].sum())
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text)[0], "<u4").tolist()
@@ -160,7 +224,7 @@ def encoded(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFra
                     text = text or ""
                     packed, n, cost, fell = fst.encode_packed(text)
                     own_ids = np.frombuffer(packed, "<u4")
-                    raw = b"".join([table[i] for i in own_ids.tolist()])
+                    raw = b"".join(map(table.__getitem__, own_ids.tolist()))
                     raw = raw[1:] if fst.prefix and raw[:1] == b" " else raw
                     own = text.encode()
                     rows.append((doc_id, len(own), n, fell, cost, zlib.crc32(packed), hashlib.sha256(raw).hexdigest(), raw == own.replace(MARK.encode(), b" ")))

@@ -183,13 +183,28 @@ def test_transducer_takes_the_shortest_path(docs, rows, empty):
             cost[j] = min(cost[j], cost[j - 1] + fst.byte_cost * len(part[j - 1].encode()))
         return cost[-1]
 
+    fst.merging = False  # costs alone, as for a unigram model
     for r in rows[8:20]:
         t = (r[1] or "")[:60]
         assert abs(fst.encode_packed(t)[2] - best(fst.normalise(t))) < 1e-6
         assert fst.decode(fst.encode(t)) == t
-    got = by_id(piece_transducer.encoded(docs, tokenizer_path(PIECES)), "n_bytes", "round_trip")
-    assert got == {r[0]: (len((r[1] or "").encode()), True) for r in rows}
-    assert piece_transducer.encoded(empty, tokenizer_path(PIECES)).count() == 0
+
+
+def test_transducer_gives_the_library_ids(docs, rows, empty):
+    import sentencepiece
+
+    path = tokenizer_path(PIECES)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    fst = piece_transducer.PieceTransducer(Path(path).read_bytes())
+    r = np.random.default_rng(8)
+    some = ["".join(r.choice(list("aabcdeinrst  \n\t.é▁😀漢1=-_"), r.integers(0, 40))) for _ in range(3000)]
+    some += [c * n for c in ("a", " ", "=", "ab", "  x", "\n", "é") for n in (1, 2, 15, 16, 17, 33, 70, 400)]
+    for t in some:
+        assert fst.encode(t) == sp.encode(t)
+    got = by_id(piece_transducer.encoded(docs, path, with_ids=True), "n_bytes", "ids", "ids_crc32", "round_trip")
+    want = {x[0]: sp.encode(x[1] or "") for x in rows}
+    assert got == {x[0]: (len((x[1] or "").encode()), want[x[0]], brute.crc(want[x[0]]), True) for x in rows}
+    assert piece_transducer.encoded(empty, path).count() == 0
 
 
 def test_toxicity(spark):
