@@ -33,6 +33,7 @@ import hashlib
 import re
 import struct
 import zlib
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -42,11 +43,12 @@ from pyspark.sql import functions as F
 
 
 MARK = "▁"
-PARTS_KEPT = 500_000
+#: Solved parts of each of two generations; the older goes when the younger is full.
+PARTS_KEPT = 300_000
 #: Merge-order arcs a worker keeps; beyond it they are compiled anew, so it bounds memory only.
 ARCS_KEPT = 500_000
-#: State in front of a part; pieces come below the characters that become bytes, all below this.
-START = (1 << 21) - 1
+#: State in front of a part and after a character that becomes bytes; all pieces come below. FREE: not reached yet.
+START, FREE = (1 << 21) - 1, -2
 #: Scores below this only say "last": such a piece costs more than all others, less than a byte.
 SENTINEL = -1e6
 SCHEMA = "doc_id long, n_bytes long, n_pieces long, n_fallback long, cost double, ids_crc32 long, decoded_sha256 string, round_trip boolean"
@@ -72,6 +74,10 @@ class PieceTransducer:
         if self.merging and any(k in (kind.USER_DEFINED, kind.UNUSED) for k in kinds):
             raise ValueError("user-defined and unused pieces of BPE models are not compiled here")
         self.rank = {p.piece: p.score for p in proto.pieces if p.type == kind.NORMAL}
+        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == kind.NORMAL}
+        self.widest = max(map(len, self.ids), default=1)
+        if self.merging and any(c not in self.ids for p in self.ids for c in p):
+            raise ValueError("BPE models with characters that occur in longer pieces only are not compiled here")
         self.arcs: dict[int, bool] = {}
         self.byte_ids = [0] * 256
         self.bytes_of = {}
@@ -96,6 +102,7 @@ class PieceTransducer:
         self.costs[self.byte_ids] = self.byte_cost
         self.apart = not any(MARK in p.lstrip(MARK) for p, k in zip(self.pieces, kinds, strict=True) if k in (kind.NORMAL, kind.USER_DEFINED))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
@@ -114,24 +121,45 @@ class PieceTransducer:
         """Whether the merge order has a finite arc from one state to a piece; kept for later texts."""
         if len(self.arcs) > ARCS_KEPT:
             self.arcs.clear()
-        size, v = len(self.pieces), self.pieces[piece]
-        u = [] if before == START else [self.pieces[before] if before < size else chr(before - size)]
+        v = self.pieces[piece]
+        u = [] if before == START else [self.pieces[before]]
         known = self.arcs[before << 21 | piece] = self.merge("".join(u) + v) == [*u, v]
         return known
 
     def merge_states(self, part: str) -> list[int]:
-        """The one finite state at each position under the merge order; -1 or a fallback state where no piece ends."""
-        arcs, size = self.arcs, len(self.pieces)
-        last = [START] + [-1] * len(part)
-        for end, (length, _, piece) in self.machine.iter(part):
-            if last[end + 1] < 0:
-                start = end + 1 - length
-                before = last[start]
-                if before < 0:  # no piece reached this position: the character in front of it is bytes
-                    before = last[start] = size + ord(part[start - 1])
-                fits = arcs.get(before << 21 | piece)
-                if self.follows(before, piece) if fits is None else fits:
-                    last[end + 1] = piece
+        """The piece that ends at each position of the one finite path under the merge order, -1 for bytes.
+
+        A prefix has one finite path only, so a position that led nowhere is not entered again.
+        """
+        arcs, ids, follows, n = self.arcs, self.ids, self.follows, len(part)
+        reach, widest = self.machine.longest_prefix, self.widest
+        last = [START] + [FREE] * n
+        at, before, length = 0, START, 0
+        while at < n:
+            length = length or reach(part[at : at + widest])
+            while length:
+                piece = ids.get(part[at : at + length])
+                if piece is not None and last[at + length] == FREE:
+                    fits = arcs.get(before << 21 | piece)
+                    if follows(before, piece) if fits is None else fits:
+                        at += length
+                        last[at] = before = piece
+                        length = 0
+                        break
+                length -= 1
+            else:
+                if part[at] not in ids:  # no piece holds this character: it becomes bytes, and a piece may start after it
+                    at += 1
+                    last[at], before = -1, START
+                    length = 0
+                    continue
+                while True:  # back to the piece before, which has to be shorter
+                    length = self.sizes[before] if before != START else 1
+                    at -= length
+                    length -= 1
+                    before = START if last[at] == -1 else last[at]
+                    if length:
+                        break
         return last
 
     def cheapest_states(self, part: str) -> list[int]:
@@ -178,15 +206,20 @@ class PieceTransducer:
         """Ids as little-endian uint32, their number, cost and fallback bytes."""
         known = self.known
         if len(known) > PARTS_KEPT:
-            known.clear()
+            self.older, known = known, {}
+            self.known = known
+        older = self.older
         parts = self.parts(self.normalise(text))
         found = list(map(known.get, parts))
         if None in found:
             for k, x in enumerate(found):
                 if x is None:
                     part = parts[k]
-                    ids = self.path(part)
-                    found[k] = x = struct.pack(f"<{len(ids)}I", *ids)
+                    x = older.get(part)
+                    if x is None:
+                        ids = self.path(part)
+                        x = struct.pack(f"<{len(ids)}I", *ids)
+                    found[k] = x
                     if len(part) <= 64:
                         known[part] = x
         packed = b"".join(found)
@@ -205,6 +238,12 @@ class PieceTransducer:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def compiled(model: bytes) -> PieceTransducer:
+    """The model's transducer, with the parts and arcs that earlier tasks of this worker solved."""
+    return PieceTransducer(model)
+
+
 def encoded(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
     """A row for each document with the figures of its ids, which are decoded again and compared with the text.
 
@@ -214,7 +253,7 @@ def encoded(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFra
     model = Path(model_path).read_bytes()
 
     def run(batches):
-        fst = PieceTransducer(model)
+        fst = compiled(model)
         table = fst.decoder()
         for b in batches:
             for at in range(0, b.num_rows, 500):
