@@ -7,6 +7,7 @@ import importlib
 from pyspark.sql import functions as F
 
 from .common import read_table, shared_dir
+from .source_mixing import SEED
 
 #: Name of the tokenizer package's path function and the files used; parameters, never copied here.
 TOKENIZERS = "public_tokenizers"
@@ -53,7 +54,7 @@ def op6_host_rules(spark, sf_dir):
     from .host_rules import with_verdicts
 
     out = with_verdicts(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
 def op7_simhash(spark, sf_dir):
@@ -83,4 +84,53 @@ def op10_bit_packing(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_exact_topk, op4_source_mixing, op5_cover_anchors, op6_host_rules, op7_simhash, op8_piece_transducer, op9_toxicity, op10_bit_packing)}
 
-SQL = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: Fingerprints, library token ids, learnt scores and byte-wise repeats have none; tests hold those against brute force.
+SQL = {
+    "op3_exact_topk": """
+WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM pairs QUALIFY rank <= 20
+""",
+    "op4_source_mixing": f"""
+WITH sized AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (SELECT *, 1.0::DOUBLE + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM totals),
+-- the first k sources by ratio stopped: the true level is the highest of these
+line AS (SELECT (SELECT sum(source_size) FROM totals)::DOUBLE AS goal,
+  coalesce(sum(3.0::DOUBLE * source_size) OVER before, 0) AS held, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open_
+  FROM weighed WINDOW before AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT max((goal - held) / open_) AS level FROM line),
+rated AS (SELECT *, least(weight * level, 3.0::DOUBLE * source_size) AS target, CASE WHEN source_size > 0 THEN least(weight * level, 3.0::DOUBLE * source_size) / source_size ELSE 0 END AS rate FROM weighed, level),
+drawn AS (SELECT doc_id, size, source_size, target, rate, (floor(rate) + (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate))::INTEGER)::BIGINT AS copies
+  FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies, rate FROM drawn
+""",
+    "op5_cover_anchors": f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+grams AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS gram FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 34)) AS i FROM w)),
+again AS (SELECT gram FROM grams GROUP BY gram HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS i FROM grams SEMI JOIN again USING (gram)),
+word AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS i FROM w),
+kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS kept FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op6_host_rules": f"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS words FROM documents),
+grams AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 4], ' ')) AS gram FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 4)) AS i FROM w)),
+again AS (SELECT doc_id, gram FROM grams GROUP BY doc_id, gram HAVING count(*) > 1),
+repeated AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 4)) AS i FROM grams SEMI JOIN again USING (doc_id, gram)) GROUP BY doc_id),
+lines AS (SELECT doc_id, source, words, t, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines FROM w),
+base AS (SELECT doc_id, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM lines LEFT JOIN repeated USING (doc_id)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM judged GROUP BY source),
+moments AS (SELECT avg(failed / n) AS mean, var_pop(failed / n) AS var FROM hosts),
+prior AS (SELECT mean, least(greatest(mean * (1 - mean) / nullif(var, 0) - 1, 1.0::DOUBLE), 1000.0::DOUBLE) AS strength FROM moments),
+rates AS (SELECT source, (failed + mean * strength) / (n + strength) AS rate FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate < 0.5 AS kept, round(rate, 6) AS host_rate
+FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source
+""",
+}

@@ -255,3 +255,24 @@ def test_pipeline(spark, tmp_path, rows):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     base_ok = {r[0] for r in rows if not brute.signals(r[1])[-1]}
     assert {x["doc_id"] for x in out} <= base_ok and all(x["round_trip"] for x in out)
+
+
+@pytest.mark.parametrize("name", ["op3_exact_topk", "op4_source_mixing", "op5_cover_anchors", "op6_host_rules"])
+def test_queries_match_their_sql(spark, rows, tmp_path, name):
+    import duckdb
+
+    from gridmorph.llm import queries
+
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    r = np.random.default_rng(9)
+    vectors = [(i, r.normal(0, 0.3, 8).tolist(), 0) for i in range(90)] + [(100, None, 0), (101, [float("nan")] * 8, 0), (102, [None] * 8, 0), (103, [], 0)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    db = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    want = db.sql(queries.SQL[name])
+    columns = sorted(df.columns)
+    assert sorted(want.columns) == columns
+    assert sorted(map(repr, (tuple(x) for x in df.select(*columns).collect()))) == sorted(map(repr, want.project(", ".join(columns)).fetchall()))
