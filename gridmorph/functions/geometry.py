@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,3 +66,41 @@ def utm_srid(lon: Column, lat: Column) -> Column:
     """SRID of the point's UTM zone."""
     zone = F.floor((lon + 180) / 6).cast("int") + 1
     return F.when(lat >= 0, 32600 + zone).otherwise(32700 + zone)
+
+
+#: Fixed values of the ellipsoid (WGS 84) and of the UTM grid.
+EQUATOR, FLATTENING = 6378137.0, 1 / 298.257223563
+UTM_SCALE, FALSE_EASTING, FALSE_NORTHING = 0.9996, 500_000.0, 10_000_000.0
+#: Latitude of true scale of the cylindrical equal-area grid, in degrees.
+EQUAL_AREA_PARALLEL = 30.0
+
+
+def utm(lon: Column, lat: Column) -> Column:
+    """struct(x, y) in metres in the point's own UTM zone, by the third-order Krüger series."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = UTM_SCALE * EQUATOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    zone = F.least(F.floor((lon + 180) / 6), F.lit(59))
+    dlon = F.radians(lon - (zone * 6 - 177))
+    sine = F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(sine) - e * F.atanh(e * sine))
+    xi, eta = F.atan2(t, F.cos(dlon)), F.atanh(F.sin(dlon) / F.sqrt(1 + t * t))
+    x = eta + sum((a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(series, 1)), F.lit(0.0))
+    y = xi + sum((a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(series, 1)), F.lit(0.0))
+    return F.struct((FALSE_EASTING + radius * x).alias("x"), (radius * y + F.when(lat < 0, FALSE_NORTHING).otherwise(0.0)).alias("y"))
+
+
+def equal_area(lon: Column, lat: Column) -> Column:
+    """struct(x, y) in metres on the cylindrical equal-area grid."""
+    e2 = FLATTENING * (2 - FLATTENING)
+    e, s0 = math.sqrt(e2), math.sin(math.radians(EQUAL_AREA_PARALLEL))
+    k0 = math.cos(math.radians(EQUAL_AREA_PARALLEL)) / math.sqrt(1 - e2 * s0 * s0)
+    s = F.sin(F.radians(lat))
+    q = (1 - e2) * (s / (1 - e2 * s * s) + F.atanh(e * s) / e)
+    return F.struct((EQUATOR * k0 * F.radians(lon)).alias("x"), (EQUATOR / (2 * k0) * q).alias("y"))
+
+
+def projected_ring(ring: Column, to=utm) -> Column:
+    """A ring of structs (x: longitude, y: latitude) in metres."""
+    return F.transform(ring, lambda p: to(p["x"], p["y"]))

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the normal quartile that scales a median absolute deviation.
@@ -93,15 +93,25 @@ def adjusted_rand(pairs: DataFrame) -> DataFrame:
     return j.select(F.when(most == expected, F.lit(1.0)).otherwise((F.col("both") - expected) / F.nullif(most - expected, F.lit(0.0))).alias("ari"))
 
 
-def silhouette(points: DataFrame) -> DataFrame:
-    """Silhouette of each of a bounded set of points(id, vec, label): a singleton's own distance is 0."""
-    p2 = points.select(F.col("id").alias("id2"), F.col("vec").alias("vec2"), F.col("label").alias("label2"))
+def silhouette(points: DataFrame, group: Column | None = None) -> DataFrame:
+    """Silhouette of each of a bounded set of points(id, vec, label): a singleton's own distance is 0. Points meet within their group."""
+    points = points.withColumn("group", F.lit(0) if group is None else group)
+    p2 = points.select("group", F.col("id").alias("id2"), F.col("vec").alias("vec2"), F.col("label").alias("label2"))
     d = F.sqrt(F.aggregate(F.zip_with("vec", "vec2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    means = points.crossJoin(p2).where("id <> id2").groupBy("id", "label", "label2").agg(F.avg(d).alias("d"))
+    means = points.join(p2, "group").where("id <> id2").groupBy("id", "label", "label2").agg(F.avg(d).alias("d"))
     s = means.groupBy("id", "label").agg(F.coalesce(F.min(F.when(F.col("label") == F.col("label2"), F.col("d"))), F.lit(0.0)).alias("a"), F.min(F.when(F.col("label") != F.col("label2"), F.col("d"))).alias("b"))
     return s.select("id", "label", F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0).alias("silhouette"))
 
 
+def cluster_count(spark, matrix: np.ndarray, most: int = 8) -> DataFrame:
+    """k, mean silhouette and whether k is chosen, for Ward's clusters of 2 .. min(most, n - 1): the best mean, of equal ones the least k."""
+    labelled = [(int(i), row.tolist(), k, int(c)) for k in range(2, min(most, len(matrix) - 1) + 1) for (i, row), c in zip(enumerate(matrix), ward(matrix, k), strict=True)]
+    points = spark.createDataFrame(labelled, "id long, vec array<double>, k long, label long")
+    own = points.select(F.struct("k", "id").alias("id"), "vec", F.struct("k", "label").alias("label"))
+    score = silhouette(own, F.col("id.k")).groupBy(F.col("id.k").alias("k")).agg(F.avg("silhouette").alias("silhouette"))
+    return score.withColumn("chosen", F.row_number().over(Window.orderBy(F.desc(F.round("silhouette", 12)), "k")) == 1)  # at most 7 rows
+
+
 def student_tail(t: float, n: int) -> float:
     """Two-sided p-value of Student's t with n degrees of freedom, by the incomplete beta fraction."""
     x = n / (n + t * t)

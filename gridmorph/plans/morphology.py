@@ -426,3 +426,22 @@ def cluster_stability(spark, sf_dir):
     return stats.cluster_stability(spark, m, stats.ward(m, 3), 3, 20).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.avg("ari").alias("mean"), F.median("ari").alias("median"), F.min("ari").alias("least"), F.max("ari").alias("most"))
 
 
+@query()
+def cluster_count(spark, sf_dir):
+    wide = stats.standardized(customer_features(spark, sf_dir)).groupBy("site").pivot("feature", ["orders", "price", "customers", "balance", "top_balance"]).agg(F.first("z")).orderBy("site").toPandas()
+    return stats.cluster_count(spark, wide.drop(columns="site").fillna(0.0).to_numpy())
+
+
+@query("""WITH p AS (SELECT c_custkey, (c_custkey * 37 % 3600) / 10.0::DOUBLE - 180 AS lon, (c_custkey * 53 % 1600) / 10.0::DOUBLE - 80 AS lat FROM customer),
+ c AS (SELECT 1 / 298.257223563::DOUBLE AS f), k AS (SELECT f, f * (2 - f) AS e2, f / (2 - f) AS n FROM c),
+ a AS (SELECT *, 0.9996::DOUBLE * 6378137 / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) AS r, sqrt(e2) AS e, n / 2 - 2 * n * n / 3 + 5 * pow(n, 3) / 16 AS a1, 13 * n * n / 48 - 3 * pow(n, 3) / 5 AS a2, 61 * pow(n, 3) / 240 AS a3,
+  cos(radians(30)) / sqrt(1 - e2 * pow(sin(radians(30)), 2)) AS k0, sin(radians(lat)) AS s, least(floor((lon + 180) / 6), 59) AS zone FROM p, k),
+ t AS (SELECT *, sinh(atanh(s) - e * atanh(e * s)) AS t, radians(lon - (zone * 6 - 177)) AS d FROM a),
+ g AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM t)
+ SELECT c_custkey, round(500000 + r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS x,
+  round(r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) AS y,
+  round(6378137 * k0 * radians(lon), 3) AS equal_x, round(6378137 / (2 * k0) * (1 - e2) * (s / (1 - e2 * s * s) + atanh(e * s) / e), 3) + 0.0 AS equal_y FROM g""")
+def projections(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") * 37 % 3600) / 10.0 - 180).alias("lon"), ((F.col("c_custkey") * 53 % 1600) / 10.0 - 80).alias("lat"))
+    both = c.select("c_custkey", g.utm(F.col("lon"), F.col("lat")).alias("u"), g.equal_area(F.col("lon"), F.col("lat")).alias("e"))
+    return rounded(both.select("c_custkey", "u.x", "u.y", F.col("e.x").alias("equal_x"), F.col("e.y").alias("equal_y")), 3)

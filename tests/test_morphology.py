@@ -167,3 +167,18 @@ def test_registered_queries_have_their_sql():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_projections_hit_known_points(spark):
+    points = spark.createDataFrame([(3.0, 0.0), (-79.387139, 43.642567), (180.0, 90.0)], "lon double, lat double")
+    rows = points.select(g.utm(F.col("lon"), F.col("lat")).alias("u"), g.equal_area(F.col("lon"), F.col("lat")).alias("e")).collect()
+    assert rows[0]["u"]["x"] == 500_000 and rows[0]["u"]["y"] == 0
+    assert abs(rows[1]["u"]["x"] - 630_084) < 1 and abs(rows[1]["u"]["y"] - 4_833_439) < 1
+    assert abs(4 * rows[2]["e"]["x"] * rows[2]["e"]["y"] / 1e6 - 510_065_621.724) < 1  # the ellipsoid's surface
+
+
+def test_cluster_count_finds_the_groups(spark):
+    r = np.random.default_rng(0)
+    x = np.concatenate([r.normal(c, 0.05, (8, 3)) for c in (0, 3, 9, 20)])
+    out = {row["k"]: row for row in stats.cluster_count(spark, x).collect()}
+    assert set(out) == set(range(2, 9)) and [k for k in out if out[k]["chosen"]] == [4] and out[4]["silhouette"] > 0.9
