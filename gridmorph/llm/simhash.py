@@ -292,8 +292,9 @@ def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_word
     groups. In each the document with the smallest id leads, and the others go
     if their sets of ``words``-word shingles have a Jaccard similarity of
     ``least`` or more with the leader's. Those that have not are compared with
-    each other: in pairs of chunks of their group, all pairs within ``most`` bits
-    by their shingle sets; of each component of similar ones the smallest id
+    each other and with those that go: in pairs of chunks of their group, all
+    pairs within ``most`` bits by their shingle sets; of each component of
+    similar ones, which may run through documents that go, the smallest id
     stays. So every document that goes is linked to one that stays.
     """
     uid = F.monotonically_increasing_id()
@@ -322,26 +323,45 @@ def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_word
 
     heads = grams.where("uid = leader").select("leader", F.col("grams").alias("own"))
     verdicts = stored(grams.where("uid <> leader").join(heads, "leader").select("uid", "grams", "own").mapInArrow(compare, "uid long, close boolean"))
-    apart = stored(members.join(verdicts.where("not close"), "uid").select("uid", "doc_id", "fp", "leader"))
-    k = F.ceil(F.col("n") / CELL).cast("int")
-    sizes = apart.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = apart.join(sizes, "leader").withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("uid"), "k").cast("int"))
-    spread = dealt.select("uid", "fp", "leader", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    cells = spread.select("uid", "fp", F.xxhash64("leader", F.least("c", "o"), F.greatest("c", "o")).alias("cell"))
+    # a document linked to its leader stands for it: one node with the leader
+    node = F.when(F.col("close"), F.col("leader")).otherwise(F.col("uid"))
+    nodes = stored(members.join(verdicts, "uid").select("uid", "doc_id", "fp", "leader", "close", node.alias("node")))
+    sizes = nodes.groupBy("leader").agg(F.count_if(~F.col("close")).alias("far"), F.count_if("close").alias("near")).where("far > 0 and far + near > 1")
+    # chunks 0..kf-1 hold the documents apart from their leader, kf..kf+kn-1 the others, which meet the former only
+    kf, kn = (F.ceil(F.col(x) / CELL).cast("int") for x in ("far", "near"))
+    dealt = nodes.join(sizes, "leader").withColumn("kf", kf).withColumn("kn", kn).withColumn("c", F.when(F.col("close"), F.col("kf") + F.pmod(F.xxhash64("uid"), "kn")).otherwise(F.pmod(F.xxhash64("uid"), "kf")).cast("int"))
+    last = F.when(F.col("close"), F.col("kf") - 1).otherwise(F.col("kf") + F.col("kn") - 1)
+    spread = dealt.select("uid", "node", "fp", "leader", "c", F.explode(F.sequence(F.lit(0), last)).alias("o"))
+    cells = spread.select("uid", "node", "fp", "c", F.xxhash64("leader", F.least("c", "o"), F.greatest("c", "o")).alias("cell"))
 
     def pairs(table: pa.Table) -> pa.Table:
-        ids, fp = table.column("uid").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+        table = table.sort_by([("c", "ascending"), ("uid", "ascending")])
+        ids, chunk, fp = table.column("node").to_numpy(), table.column("c").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
         own = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-        label, out = np.arange(len(ids)), []
-        for i in range(len(ids)):
-            for j in np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= most) + i + 1:
-                if label[i] != label[j] and similarity(own[i], own[j]) >= least:
-                    out.append((ids[i], ids[j]))
-                    label[label == label[j]] = label[i]
+        size = np.array(list(map(len, own)))
+        values, codes = np.unique(np.concatenate(own), return_inverse=True)
+        begin = np.cumsum(size) - size
+        mark = np.zeros(len(values), np.int32)
+        label = np.unique(ids, return_inverse=True)[1]
+        second = int(np.searchsorted(chunk, chunk[0], "right"))  # a cell of one chunk compares its rows, one of two the chunks
+        one, out = second == len(ids), []
+        for i in range(second):
+            j = i + 1 if one else second
+            wanted = (label[j:] != label[i]) & (np.bitwise_count(fp[j:] ^ fp[i]) <= most)
+            if not wanted.any():
+                continue
+            grams_i = codes[begin[i] : begin[i] + size[i]]
+            mark[grams_i] = 1
+            both = np.add.reduceat(mark[codes[begin[j] :]], begin[j:] - begin[j])
+            mark[grams_i] = 0
+            for m in np.flatnonzero(wanted & (both / (size[j:] + size[i] - both) >= least)) + j:
+                if label[i] != label[m]:
+                    out.append((ids[i], ids[m]))
+                    label[label == label[m]] = label[i]
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     similar = cells.join(grams.select("uid", "grams"), "uid").groupBy("cell").applyInArrow(pairs, "a long, b long").distinct()
-    groups = component_labels(similar).withColumnRenamed("node", "uid").join(apart.select("uid", "doc_id"), "uid")
+    groups = component_labels(similar).withColumnRenamed("node", "uid").join(members.select("uid", "doc_id"), "uid")
     stay = groups.groupBy("label").agg(first.alias("stay"))
     copies = verdicts.where("close").select("uid").unionByName(groups.join(stay, "label").where("uid <> stay").select("uid"))
     # both joins move the rows at every size: what they join grows with the corpus

@@ -85,6 +85,23 @@ def components(prints, most=3):
     return {d: (f"{f:016x}", least[find(f)]) for d, f in prints}
 
 
+def near_dedup(docs, width=5, least=0.8):
+    """The smallest doc_id of each component of texts whose shingle sets have a Jaccard similarity of least; docs: [(doc_id, text)]."""
+    docs = sorted(docs)
+    sets = []
+    for _, text in docs:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    label = list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both / (len(a) + len(sets[j]) - both) >= least and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return {docs[i][0] for i in set(label)}
+
+
 def signals(text):
     text = text or ""
     w = words(text)

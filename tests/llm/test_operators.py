@@ -170,6 +170,27 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert out.columns == ["doc_id", "text", "fp"] and sorted(kept) == list(range(12))
 
 
+def test_near_dedup_follows_links_through_removed_copies(spark):
+    r = np.random.default_rng(16)
+    words = np.array(["".join(r.choice(list("abcdefgh"), 6)) for _ in range(3000)])
+    docs = []
+    for _ in range(6):
+        w = r.choice(words, 300)
+        own = simhash.fingerprint(" ".join(w).encode(), 3)
+        group = []
+        while len(group) < 7:  # six edits each, fingerprints within 8 bits of the original's
+            x = w.copy()
+            x[r.permutation(np.arange(5, 290, 6))[:6]] = "changed"
+            if (simhash.fingerprint(" ".join(x).encode(), 3) ^ own).bit_count() <= 8:
+                group.append(x)
+        group.insert(4, w)  # the original is not the smallest id
+        docs += [(len(docs) + c, " ".join(x)) for c, x in enumerate(group)]
+    want = brute.near_dedup(docs)
+    assert want == {0, 8, 16, 24, 32, 40}
+    out = simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert {x["doc_id"] for x in out.collect()} == want
+
+
 def test_transducer_takes_the_shortest_path(docs, rows, empty):
     fst = piece_transducer.PieceTransducer(Path(tokenizer_path(PIECES)).read_bytes())
 
