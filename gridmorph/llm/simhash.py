@@ -285,7 +285,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_words: int = 3, most: int = 8) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_words: int = 3, most: int = 11) -> DataFrame:
     """The documents without near copies, with their own columns: of each group one stays.
 
     Fingerprints (of print_words-word shingles, within ``most`` bits) propose
@@ -293,7 +293,7 @@ def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_word
     if their sets of ``words``-word shingles have a Jaccard similarity of
     ``least`` or more with the leader's. Those that have not are compared with
     each other and with those that go: in pairs of chunks of their group, all
-    pairs within ``most`` bits by their shingle sets; of each component of
+    pairs by their shingle sets, whatever their bits; of each component of
     similar ones, which may run through documents that go, the smallest id
     stays. So every document that goes is linked to one that stays.
     """
@@ -305,7 +305,7 @@ def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_word
     rooted = prints.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid"))["uid"]
     leaders = rooted.groupBy("label").agg(first.alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(rooted.join(leaders, "label").select("uid", "doc_id", "fp", "leader"))
+    members = stored(rooted.join(leaders, "label").select("uid", "doc_id", "leader"))
 
     def sets(batches):
         for b in batches:
@@ -325,18 +325,18 @@ def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_word
     verdicts = stored(grams.where("uid <> leader").join(heads, "leader").select("uid", "grams", "own").mapInArrow(compare, "uid long, close boolean"))
     # a document linked to its leader stands for it: one node with the leader
     node = F.when(F.col("close"), F.col("leader")).otherwise(F.col("uid"))
-    nodes = stored(members.join(verdicts, "uid").select("uid", "doc_id", "fp", "leader", "close", node.alias("node")))
+    nodes = stored(members.join(verdicts, "uid").select("uid", "leader", "close", node.alias("node")))
     sizes = nodes.groupBy("leader").agg(F.count_if(~F.col("close")).alias("far"), F.count_if("close").alias("near")).where("far > 0 and far + near > 1")
     # chunks 0..kf-1 hold the documents apart from their leader, kf..kf+kn-1 the others, which meet the former only
     kf, kn = (F.ceil(F.col(x) / CELL).cast("int") for x in ("far", "near"))
     dealt = nodes.join(sizes, "leader").withColumn("kf", kf).withColumn("kn", kn).withColumn("c", F.when(F.col("close"), F.col("kf") + F.pmod(F.xxhash64("uid"), "kn")).otherwise(F.pmod(F.xxhash64("uid"), "kf")).cast("int"))
     last = F.when(F.col("close"), F.col("kf") - 1).otherwise(F.col("kf") + F.col("kn") - 1)
-    spread = dealt.select("uid", "node", "fp", "leader", "c", F.explode(F.sequence(F.lit(0), last)).alias("o"))
-    cells = spread.select("uid", "node", "fp", "c", F.xxhash64("leader", F.least("c", "o"), F.greatest("c", "o")).alias("cell"))
+    spread = dealt.select("uid", "node", "leader", "c", F.explode(F.sequence(F.lit(0), last)).alias("o"))
+    cells = spread.select("uid", "node", "c", F.xxhash64("leader", F.least("c", "o"), F.greatest("c", "o")).alias("cell"))
 
     def pairs(table: pa.Table) -> pa.Table:
         table = table.sort_by([("c", "ascending"), ("uid", "ascending")])
-        ids, chunk, fp = table.column("node").to_numpy(), table.column("c").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+        ids, chunk = table.column("node").to_numpy(), table.column("c").to_numpy()
         own = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
         size = np.array(list(map(len, own)))
         values, codes = np.unique(np.concatenate(own), return_inverse=True)
@@ -347,7 +347,7 @@ def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_word
         one, out = second == len(ids), []
         for i in range(second):
             j = i + 1 if one else second
-            wanted = (label[j:] != label[i]) & (np.bitwise_count(fp[j:] ^ fp[i]) <= most)
+            wanted = label[j:] != label[i]
             if not wanted.any():
                 continue
             grams_i = codes[begin[i] : begin[i] + size[i]]

@@ -191,6 +191,25 @@ def test_near_dedup_follows_links_through_removed_copies(spark):
     assert {x["doc_id"] for x in out.collect()} == want
 
 
+def test_near_dedup_finds_distant_fingerprints(spark):
+    r = np.random.default_rng(17)
+    words = np.array(["".join(r.choice(list("abcdefgh"), 6)) for _ in range(3000)])
+    docs, bits = [], []
+    while len(bits) < 20:  # pairs at similarity 0.8 or more whose fingerprints differ in 9 to 11 bits
+        w = r.choice(words, 300)
+        x = w.copy()
+        x[r.permutation(np.arange(5, 290, 6))[:6]] = "changed"
+        a, b = " ".join(w), " ".join(x)
+        apart = (simhash.fingerprint(a.encode(), 3) ^ simhash.fingerprint(b.encode(), 3)).bit_count()
+        if 9 <= apart <= 11:
+            bits.append(apart)
+            docs += [(len(docs), a), (len(docs) + 1, b)]
+    want = brute.near_dedup(docs)
+    assert len(want) == 20 and set(bits) == {9, 10, 11}
+    out = simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert {x["doc_id"] for x in out.collect()} == want
+
+
 def test_transducer_takes_the_shortest_path(docs, rows, empty):
     fst = piece_transducer.PieceTransducer(Path(tokenizer_path(PIECES)).read_bytes())
 
