@@ -164,10 +164,13 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, scale: float =
                         hit = [x for x in f["bins"] if x["above"] < need[i] <= x["above"] + x["n"]]
                         if hit and width[i] > 0:
                             step = -(-width[i] // BINS)
-                            low[i] += hit[0]["bin"] * step
+                            skipped = hit[0]["bin"] * step
+                            low[i] += skipped
                             need[i] -= hit[0]["above"]
+                            # the last bin may reach beyond the range, where all has been counted
+                            wide = min(step, width[i] - skipped)
                             # a bin one value wide is the kth value itself: done, marked by width 0
-                            width[i] = 0 if step == 1 else step
+                            width[i] = 0 if wide == 1 else wide
                         else:
                             width[i] = 0  # fewer than k candidates: all that lies above the range's lower end
                     yield pa.RecordBatch.from_pydict({"qb": [r["qb"]], "low": [low.tobytes()], "width": [width.tobytes()], "need": [need.tobytes()]})

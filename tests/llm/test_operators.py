@@ -101,6 +101,18 @@ def test_topk(spark):
     assert topk_search.exact_topk(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("norms", [(1.5, 1.5), (1.0, 2.5), (1.0, 10.0), (3.0, 10.0)])
+def test_topk_of_long_vectors(spark, norms):
+    r = np.random.default_rng(11)
+    m = r.normal(size=(3000, 8))
+    m *= norms[0] / np.linalg.norm(m, axis=1)[:, None]
+    m[0] *= norms[1] / norms[0]
+    v = [(20 * i, x) for i, x in enumerate(m.tolist())]  # all are queries
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(3)
+    got = topk_search.exact_topk(df, F.col("vec_id") % 20 == 0).toPandas()
+    assert sorted(got.itertuples(index=False, name=None)) == brute.topk(v)
+
+
 def test_mixing(docs, rows, empty):
     sizes = {}
     for r in rows:
