@@ -78,6 +78,9 @@ class Lexicon:
                 tails.add(w[cut[-2] :])
                 if k == 3:
                     middles.add(w[cut[1] : cut[2]])
+                # a swap over a cut breaks two pieces: what it leaves at the word's ends
+                heads.add(w[: cut[1] - 1] + w[cut[1]])
+                tails.add(w[cut[-2] - 1] + w[cut[-2] + 1 :])
         self.heads, self.tails, self.middles = heads, tails, middles
         self.head_lengths, self.tail_lengths = {len(x) for x in heads}, {len(x) for x in tails}
         self.lengths = {n + d for n in map(len, self.words) for d in range(-2, 3)}

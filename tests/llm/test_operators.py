@@ -280,6 +280,22 @@ def test_toxicity(spark):
     assert out[9001]["score"] == out[None]["score"] < 0.5
 
 
+def test_toxicity_finds_every_swap():
+    for term in ["idiot", "clown", "moron", "loser", "trash", "stupid", "ignored", "scumbags", "scoundrel", "blockheads", "numbskulled"]:
+        lexicon = toxicity.Lexicon([term], [])
+        swap = lambda w, i: w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+        for i in range(len(term) - 1):
+            word = swap(term, i)
+            assert lexicon.near(word), word
+            if len(term) < 8:
+                continue
+            for j in (x for x in range(len(term)) if x not in (i, i + 1)):
+                for two in (word[:j] + "z" + word[j + 1 :], word[:j] + word[j + 1 :], word[:j] + "z" + word[j:]):
+                    assert lexicon.near(two), two
+                if j + 1 < len(term) and j + 1 != i:
+                    assert lexicon.near(swap(word, j)), swap(word, j)
+
+
 def test_bit_packing(docs, rows, empty, tmp_path):
     from tokenizers import Tokenizer
 
