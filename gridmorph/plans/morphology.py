@@ -423,7 +423,7 @@ def ward_clusters(spark, sf_dir):
 def cluster_stability(spark, sf_dir):
     wide = stats.standardized(customer_features(spark, sf_dir)).groupBy("site").pivot("feature", ["orders", "price", "customers", "balance", "top_balance"]).agg(F.first("z")).orderBy("site").toPandas()
     m = wide.drop(columns="site").fillna(0.0).to_numpy()
-    return stats.cluster_stability(spark, m, stats.ward(m, 3), 3, 20).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.avg("ari").alias("mean"), F.median("ari").alias("median"), F.min("ari").alias("least"), F.max("ari").alias("most"))
+    return stats.cluster_stability(spark, m, stats.ward(m, 3), 3).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.avg("ari").alias("mean"), F.median("ari").alias("median"), F.min("ari").alias("least"), F.max("ari").alias("most"))
 
 
 @query()

@@ -182,3 +182,10 @@ def test_cluster_count_finds_the_groups(spark):
     x = np.concatenate([r.normal(c, 0.05, (8, 3)) for c in (0, 3, 9, 20)])
     out = {row["k"]: row for row in stats.cluster_count(spark, x).collect()}
     assert set(out) == set(range(2, 9)) and [k for k in out if out[k]["chosen"]] == [4] and out[4]["silhouette"] > 0.9
+
+
+def test_cluster_stability_query_runs_a_hundred_rounds(spark):
+    from gridmorph.plans import morphology
+
+    rows = morphology.QUERIES["cluster_stability"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 2 and all(r["n"] == 50 for r in rows)
