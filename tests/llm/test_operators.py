@@ -325,6 +325,33 @@ def test_pipeline(spark, tmp_path, rows):
     assert {x["doc_id"] for x in out} <= base_ok and all(x["round_trip"] for x in out)
 
 
+def test_pipeline_stages_match_brute_force(spark):
+    import hashlib
+
+    import corpus_pipeline
+
+    r = np.random.default_rng(21)
+    words = np.array(["".join(r.choice(list("abcdefgh"), 6)) for _ in range(3000)])
+    shared, rows = " ".join(r.choice(words, 30)), []
+    for k in range(10):
+        w = r.choice(words, 300)
+        for c in range(5):  # a chain: each is edited from the one before
+            w = w.copy()
+            w[r.permutation(np.arange(5, 290, 6))[: 1 + k % 5 if c else 0]] = "changed"
+            rows.append((len(rows), " ".join(w) + " " + shared, "en", f"s{k % 3}", 0))
+    rows.append((len(rows), "too short", "en", "s0", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    fine = [x[:2] for x in rows if not brute.signals(x[1])[-1]]
+    stay = brute.near_dedup(fine)
+    kept = {i: t for i, t in fine if i in stay}
+    want = {i: x[3] for i, x in brute.repeated_bytes(list(kept.items())).items()}
+    assert 10 <= len(want) < 20
+    docs = simhash.stored(corpus_pipeline.near_copies(spark, simhash.stored(corpus_pipeline.quality(spark, docs, "")), ""))
+    assert {x["doc_id"]: x["text"] for x in docs.collect()} == kept
+    out = corpus_pipeline.repeats(spark, docs, "").collect()
+    assert {x["doc_id"]: hashlib.sha256(x["text"].encode()).hexdigest() for x in out} == want
+
+
 @pytest.mark.parametrize("name", ["op3_exact_topk", "op4_source_mixing", "op5_cover_anchors", "op6_host_rules"])
 def test_queries_match_their_sql(spark, rows, tmp_path, name):
     import duckdb
