@@ -11,7 +11,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmorph.llm.common import read_table, release, stored
+from gridmorph.llm.common import Tables, read_table, stored
 from gridmorph.llm.host_rules import with_verdicts
 from gridmorph.llm.piece_transducer import encoded
 from gridmorph.llm.queries import PIECES, tokenizer_path
@@ -20,13 +20,21 @@ from gridmorph.llm.source_mixing import mixed
 from gridmorph.llm.suffix_dedup import without_repeats
 
 
+#: Intermediate tables of the stage last run, by session and input.
+_MADE: dict[tuple[int, str], Tables] = {}
+
+
 def _stage(f):
-    """The stage before has been written when a stage begins, so its intermediate tables can go."""
+    """The stage before has been written when a later one begins, so what that made on the way can go; nothing else does."""
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, docs)
-        return f(spark, docs, sf_dir)
+        before = _MADE.pop((id(spark), sf_dir), None)
+        if before and f.__name__ != STAGES[0][1].__name__:
+            before.release(keep=docs)
+        with Tables(spark) as made:
+            _MADE[id(spark), sf_dir] = made
+            return f(spark, docs, sf_dir)
 
     return run_stage
 
@@ -68,7 +76,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        out = stage(spark, docs, sf_dir)
+        with Tables(spark) as written:
+            docs = stored(out)
+        if before:
+            before.release()
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,8 @@
 
 Every operator takes DataFrames and returns DataFrames. Intermediate tables
 that must outlive an executor are written below the folder that the session
-names in ``spark.checkpoint.dir``; it is set here only where it is unset.
+names in ``spark.checkpoint.dir``. Operators that return lazy frames expect
+their caller to run them with Arrow batches of some megabytes (BATCHES).
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,50 +27,92 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 1 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of some megabytes: texts are long, and a worker holds a batch several times over."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+#: Arrow batches of some megabytes: texts are long, and a worker holds a batch several times over.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession):
+    """The session with BATCHES while a table is written, then with its own values again."""
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    try:
+        for k, v in BATCHES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded_batches(spark)
+    """A table for a registered query. Queries hand lazy frames to their caller, so the session gets BATCHES for good here."""
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Paths handed out by this driver, for release().
-HANDED_OUT: list[str] = []
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession, keep: DataFrame) -> None:
-    """Deletes the intermediate tables made so far, but for those that ``keep`` reads.
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI of the file system that Spark itself would use for it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
-    For callers that know that earlier results have been written elsewhere.
-    """
-    files = keep.inputFiles()
-    jvm = spark.sparkContext._jvm
-    for path in list(HANDED_OUT):
-        if not any(path.rpartition("/")[2] in f for f in files):
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-            HANDED_OUT.remove(path)
+
+class Tables:
+    """The intermediate tables made while it is open, for a caller that knows when they have served."""
+
+    open_: ClassVar[list[Tables]] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self):
+        Tables.open_.append(self)
+        return self
+
+    def __exit__(self, *_):
+        Tables.open_.remove(self)
+
+    def release(self, keep: DataFrame | None = None) -> None:
+        """Deletes them, but for those that ``keep`` reads."""
+        files = keep.inputFiles() if keep is not None else []
+        for path in list(self.paths):
+            if not any(path.rpartition("/")[2] in f for f in files):
+                remove_path(self.spark, path)
+                self.paths.remove(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below the folder that driver and executors share."""
+    """A new path below the folder that driver and executors share.
+
+    Without ``spark.checkpoint.dir`` only a local session, whose executors are
+    the driver itself, gets a folder of its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="gridmorph-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    HANDED_OUT.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
-    return HANDED_OUT[-1]
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if "dir" not in _LOCAL:
+            _LOCAL["dir"] = tempfile.mkdtemp(prefix="gridmorph-")
+        base = _LOCAL["dir"]
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    for t in Tables.open_:
+        t.paths.append(path)
+    return path
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: a durable cut of the lineage."""
     path = shared_dir(df.sparkSession)
-    bounded_batches(df.sparkSession)
-    df.write.parquet(path)
+    with bounded_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,16 +124,15 @@ def buckets_for(spark: SparkSession, least: int = 256) -> int:
 def numbered(df: DataFrame, *order) -> DataFrame:
     """df with ``rank`` 0, 1, ... in the given order.
 
-    Ranges are dealt to partitions and numbered there; only the partitions'
-    row counts meet in one window, so no task sees all rows.
+    Ranges are dealt to partitions, sorted and numbered there; only the
+    partitions' row counts meet in one window, so no task sees all rows.
     """
-    flat = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id()))
-    from pyspark.sql import Window
-
+    flat = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()))
+    flat = flat.withColumn("part_", F.shiftright("at_", 33))
     sizes = flat.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
     starts = sizes.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("start_"))
-    local = F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1
-    return flat.withColumn("local_", local).join(starts, "part_").withColumn("rank", F.col("start_") + F.col("local_")).drop("part_", "local_", "start_")
+    # a row for each partition
+    return flat.join(F.broadcast(starts), "part_").withColumn("rank", F.col("start_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))).drop("part_", "at_", "start_")
 
 
 def worker_cache(key: str, make):
@@ -157,6 +202,14 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit symbols (XXH3-128) of each word that words_of() finds, as rows."""
+    raw = data.tobytes()
+    # bytes.split() splits at 0x20 and 0x09-0x0D
+    digests = [b"".join(map(xxhash.xxh3_128_digest, raw[a:b].split())) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3."""
     x = x.astype(np.uint64, copy=True)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, buckets_for, shared_dir, sliced, utf8
+from .common import BLOCK_BYTES, bounded_batches, buckets_for, shared_dir, sliced, utf8
 
 SHARD_SCHEMA = "shard long, doc_ids array<bigint>, ends array<bigint>, data binary, size long"
 #: Packed bytes that one bucket gets, about.
@@ -77,8 +77,13 @@ def text_shards(docs: DataFrame, carry: bool = False) -> DataFrame:
     schema = SHARD_SCHEMA + (f", rows array<{rows.schema['rest'].dataType.simpleString()}>" if others else "")
     name = f"gridmorph_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.mapInArrow(build, schema).write.format("parquet").bucketBy(n, "shard").option("path", shared_dir(spark)).saveAsTable(name)
-    return spark.table(name)
+    path = shared_dir(spark)
+    with bounded_batches(spark):
+        # dealt by the bucketing's own hash first: one file for each bucket, however many tasks read the texts
+        rows.mapInArrow(build, schema).repartition(n, "shard").write.format("parquet").bucketBy(n, "shard").option("path", path).saveAsTable(name)
+    table = spark.table(name)  # analysed here: the frame needs the files, not the catalog's entry
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 class Shard:
