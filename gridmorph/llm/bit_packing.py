@@ -37,7 +37,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, worker_cache
+from .common import qualified, shared_dir, stored, worker_cache
 
 MAGIC = b"GMBITS01"
 BLOCK_IDS = 1 << 16
@@ -63,8 +63,21 @@ def unpack(data: bytes, n: int, width: int) -> np.ndarray:
 
 
 def open_fs(uri: str):
-    """The file system of a path or URI, and the path in it."""
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    """The file system of a qualified URI, and the path in it."""
+    scheme, _, rest = uri.partition(":")
+    if not rest or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest or uri).lstrip("/")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
+
+
+def publish(store, private: str, name: str) -> None:
+    """Gives a whole file its name; if a repeated task has done so before, its file stays."""
+    try:
+        store.move(private, name)
+    except OSError:  # some stores refuse to replace a file
+        if store.get_file_info(name).type != fs.FileType.File:
+            raise
+        store.delete_file(private)
 
 
 class Writer:
@@ -146,6 +159,8 @@ class Reader:
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+#: A capital letter that what follows it might combine with: lower-casing first would then cross the normaliser.
+CAPITAL_BEFORE_MARK = re.compile(rb"[A-Z][\x80-\xff]")
 #: A run of Latin letters, with punctuation after it or without.
 PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 
@@ -208,11 +223,21 @@ class WordEncoder:
             known[w] = known[core] + known[tail] if tail else known[core]
         known.update(zip(other, self._encode([w.decode() for w in other]), strict=True))
 
+    def _lowered(self, text: bytes) -> bytes:
+        """The text in lower case, which makes fewer words, where that cannot change its ids.
+
+        It can where the text may hold a special token's letters, and where a capital
+        stands before a character that it could combine with: the normaliser composes
+        before it lower-cases.
+        """
+        if self.ends is None or b"<|" in text or not text.isascii() and CAPITAL_BEFORE_MARK.search(text):
+            return text
+        return text.lower()
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.frombuffer(x, "<u4") for x in self._encode([t.decode() for t in texts])]
-        # lower-casing first makes fewer words; not where the text may hold a special token's letters
-        words = [t.lower().split() if self.ends is not None and b"<|" not in t else t.split() for t in texts]
+        words = [self._lowered(t).split() for t in texts]
         seen = set().union(*words)
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
@@ -267,7 +292,7 @@ def write_ids(docs: DataFrame, definition: bytes, folder: str, end_id: int) -> D
         if out is not None:
             out.close()
             stream.close()
-            store.move(private, f"{where}/{name}")
+            publish(store, private, f"{where}/{name}")
             yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(out.docs)], "n_ids": [out.total]})
 
     return stored(ordered.mapInArrow(write, "file string, n_docs long, n_ids long"))
@@ -303,5 +328,5 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
 
 def packed_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 1) -> DataFrame:
     """Writes the files below folder and gives what they hold, read back."""
-    folder = folder or shared_dir(docs.sparkSession)
+    folder = qualified(docs.sparkSession, folder or shared_dir(docs.sparkSession))
     return read_ids(write_ids(docs, Path(tokenizer_path).read_bytes(), folder, end_id), folder)
