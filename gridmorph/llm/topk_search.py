@@ -1,8 +1,8 @@
 """Exact top-k search by distributed histogram selection.
 
 Vectors become integers (floor(scale * x)). Queries and candidates are packed
-into blocks; each pair of a query block and a candidate block is scored by one
-matrix product. Each round bins all scores that may still be a query's kth into
+into blocks, and the pairs of a query block and a candidate block are dealt out
+as cells, each scored by one matrix product. Each round bins all scores that may still be a query's kth into
 a histogram, the histograms are summed over all candidates, and the bin with
 the kth score becomes the next round's range, until a bin is one value wide.
 A last pass emits what lies above that value, and of its ties the smallest ids.
@@ -12,11 +12,11 @@ score is never smaller; nothing else is dropped.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite
 component, and rows with a null id, take no part; missing trailing components
-count as 0; components are held to +-2**27, beyond which no long could hold a
-score; a candidate with the query's own id is not its neighbour; rows that
-repeat an id are candidates each, and one query (the least vector); fewer than
-k candidates are returned whole; empty tables give no rows; further columns
-are ignored.
+count as 0; vectors whose scores need not fit a long are refused with an error;
+a candidate with the query's own id is not its neighbour; rows that repeat an id
+are candidates each, and one query (the least valid vector); fewer than k
+candidates are returned whole; empty tables give no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from .common import numbered, stored
 
 BINS = 128
 QUERY_BLOCK = 2048
-CANDIDATE_BLOCK = 8192
+CANDIDATE_BLOCK = 2048
 BLOCK_SCHEMA = "ids binary, data binary, dim int, norm double"
 
 
@@ -45,15 +45,18 @@ def _integers(column, scale: float) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(n), size)
     good = size > 0
     good[row[~fine]] = False
-    out = np.zeros((n, int(size.max(initial=0))), np.int32)
+    out = np.zeros((n, int(size.max(initial=0))), np.int64)
     column_of = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
-    limit = 1 << 27
-    out[row[fine], column_of[fine]] = np.clip(np.floor(scale * values[fine]), -limit, limit).astype(np.int32)
+    used = fine & good[row]
+    whole = np.floor(scale * values[used])
+    if len(whole) and np.abs(whole).max() >= 2.0**62:
+        raise ValueError("a component times the scale is too large for 64-bit scores")
+    out[row[used], column_of[used]] = whole.astype(np.int64)
     return out, good
 
 
 def blocks(vectors: DataFrame, rows: int, scale: float) -> DataFrame:
-    """Rows of up to ``rows`` vectors each: their ids, int32 matrix and largest norm."""
+    """Rows of up to ``rows`` vectors each: their ids, int64 matrix and largest norm."""
 
     def build(batches):
         ids, parts = [], []
@@ -84,6 +87,8 @@ def blocks(vectors: DataFrame, rows: int, scale: float) -> DataFrame:
 
 def _scores(q: np.ndarray, c: np.ndarray, norms: float) -> np.ndarray:
     d = min(q.shape[1], c.shape[1])
+    if norms >= 2.0**62:
+        raise ValueError("scores of these vectors do not fit 64 bits")
     if norms < 2**52:
         return (q[:, :d].astype(np.float64) @ c[:, :d].T.astype(np.float64)).astype(np.int64)
     return q[:, :d].astype(np.int64) @ c[:, :d].T.astype(np.int64)
@@ -94,8 +99,8 @@ def _pairs(batches):
     for b in batches:
         for r in b.to_pylist():
             qids, ids = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
-            q = np.frombuffer(r["qdata"], np.int32).reshape(len(qids), r["qdim"])
-            c = np.frombuffer(r["data"], np.int32).reshape(len(ids), r["dim"])
+            q = np.frombuffer(r["qdata"], np.int64).reshape(len(qids), r["qdim"])
+            c = np.frombuffer(r["data"], np.int64).reshape(len(ids), r["dim"])
             low, width, need = (np.frombuffer(r[k], np.int64) for k in ("low", "width", "need"))
             for k in range(0, len(ids), 1024):
                 s = _scores(q, c[k : k + 1024], r["qnorm"] * r["norm"])
@@ -106,18 +111,25 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, scale: float =
     """query_id, rank, vec_id, score of the k best candidates of each query."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
     candidates = stored(blocks(rows, CANDIDATE_BLOCK, scale))
-    chosen = rows.where(is_query & F.col("embedding").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    valid = (F.size("embedding") > 0) & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
+    chosen = rows.where(is_query & valid).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     queries = stored(numbered(blocks(chosen, QUERY_BLOCK, scale), "ids").select(F.col("rank").alias("qb"), F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.col("dim").alias("qdim"), F.col("norm").alias("qnorm")))
     n_blocks = queries.count()
-    top = candidates.agg(F.max("norm")).first()[0] or 0.0
-    spread = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n_blocks - 1)).cast("long")))) if n_blocks else candidates.withColumn("qb", F.lit(0).cast("long")).limit(0)
+    n_candidates, top = candidates.agg(F.count(F.lit(1)), F.coalesce(F.max("norm"), F.lit(0.0))).first()
+    # cells of one query block and a share of the candidate blocks: enough of them for all cores, each with a candidate block at least
+    shares = max(1, min(n_candidates, -(-2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, n_blocks))))
+
+    def each(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    spread = candidates.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares))).withColumn("qb", each(max(1, n_blocks)))
 
     # by Cauchy and Schwarz no score lies outside +-(query norm * candidate norm)
     def first_state(batches):
         for b in batches:
             for r in b.to_pylist():
                 ids = np.frombuffer(r["qids"], np.int64)
-                q = np.frombuffer(r["qdata"], np.int32).reshape(len(ids), r["qdim"]).astype(np.float64)
+                q = np.frombuffer(r["qdata"], np.int64).reshape(len(ids), r["qdim"]).astype(np.float64)
                 bound = np.ceil(np.sqrt((q * q).sum(axis=1)) * top * (1 + 1e-9)).astype(np.int64) + 1
                 width = 2 * bound + 1
                 yield pa.RecordBatch.from_pydict({"qb": [r["qb"]], "low": [(-bound).tobytes()], "width": [width.tobytes()], "need": [np.full(len(ids), k, np.int64).tobytes()]})
@@ -144,7 +156,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, scale: float =
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), qb)), pa.array(i), pa.array(j), pa.array(table[i, j])], ["qb", "qi", "bin", "n"])
 
     def joined(state):
-        return spread.join(queries.join(state, "qb"), "qb")
+        return spread.join(queries.join(state, "qb").withColumn("share", each(shares)), ["qb", "share"])
 
     w = Window.partitionBy("qb", "qi").orderBy(F.desc("bin"))
     while n_blocks:
