@@ -16,9 +16,12 @@ small at any corpus size. All documents are scored over their whole texts.
 
 Defined cases: null and empty texts have no hits and get the score of a text
 without hits; without training rows of both classes every score is the share
-of toxic training rows (0 if there are none); null labels are not used; a null
-doc_id is held out; repeated rows give one row each; an empty table gives no
-rows; further columns are ignored.
+of toxic training rows (0 if there are none); labels other than 0 and 1, null
+ones included, are not used, nor are null ids; a doc_id that several labels or
+texts have is used once, with its greatest label and its least text; of equally
+good terms the first by code point is taken; a very long text is read whole, in
+a block of its own; a null doc_id is held out; repeated rows give one row each;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +35,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stored
+from .common import sliced, stored, worker_cache
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-QUOTED = re.compile(r"\"[^\"\n]{0,400}\"|“[^”\n]{0,400}”|«[^»\n]{0,400}»|„[^“”\n]{0,400}[“”]")
+#: Quotations lie within a line, whatever their length.
+QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]")
 STEMS = (4, 5, 6)
 MEMO = 400_000
 WINDOW = 20
@@ -182,9 +186,11 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, max_rows: int = 20_000, max_terms: int = 1_000, ratio: float = 15.0) -> Model:
     """Learns lexicon and weights from at most max_rows rows of labels(doc_id, toxic) where training holds."""
-    usable = labels.where(training & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    usable = labels.where(training & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     rows = usable.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(max_rows)
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "toxic"))  # max_rows ids
+    labelled = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")  # max_rows ids
+    # an id counts once, so the sample is as bounded as its ids
+    sample = stored(labelled.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"))
     totals = dict(sample.groupBy("toxic").count().collect())
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
@@ -245,9 +251,10 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, max_rows: int = 20
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     words, stems, weights = model.lexicon.words, model.lexicon.stems, model.weights
+    key = xxhash.xxh3_128_hexdigest(repr((words, stems)).encode())
 
     def run(batches):
-        own = Model(Lexicon(words, stems), weights)
+        own = Model(worker_cache(f"lexicon-{key}", lambda: Lexicon(words, stems)), weights)
         for b in batches:
             for part in sliced(b, 2):
                 s = own.scores(part.column(2).to_pylist())
