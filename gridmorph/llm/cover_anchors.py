@@ -5,13 +5,15 @@ the same distance behind them. Of any two equal windows of ``width`` words
 (width >= anchor + v - 1) some anchor, ``anchor`` words at a cover position,
 therefore starts at the same place in both. So only |cover| / v of the
 positions are hashed at first; an anchor that occurs twice opens the windows
-around it, and these windows' fingerprints (96 bits) are then counted exactly.
-A word goes if any window over it occurs elsewhere.
-
-Words are compared as bytes, by 64-bit fingerprints within the window's
-fingerprint. Defined cases: null and empty texts have no words; windows never
-cross documents; rows that repeat a document repeat its windows; a null doc_id
-is kept; an empty table gives no rows; further columns are ignored.
+around it, and these windows are then counted exactly, by fingerprints of 128
+bits: two rolling hashes of 64 bits over the two halves of the words' XXH3-128
+digests, so neither the words' letters nor one half decide alone. A word goes if
+any window over it occurs elsewhere.
+
+Defined cases: null and empty texts have no words; windows never cross
+documents; a very long text is a shard of its own and read whole; rows that
+repeat a document repeat its windows; a null doc_id is kept; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BASES, BYTE_SYMBOLS, Rolling, covered, mix64, stored, words_of
+from .common import BASES, Rolling, covered, stored, word_hashes, words_of
 from .shards import answered, bucket_count, distinct_pairs, each_shard, marks_of, sent, sent_schema, text_shards
 
 #: A perfect difference set: every residue modulo 21 but 0 is a difference of two members exactly once.
@@ -38,9 +40,9 @@ class Windows:
         n_docs = len(shard.offsets) - 1
         self.n_words = np.bincount(doc, minlength=n_docs)
         self.first = np.concatenate([[0], np.cumsum(self.n_words)])
-        symbols = Rolling(BYTE_SYMBOLS[shard.data], BASES[0]).spans(self.starts, self.ends)
-        self.rolling = Rolling(symbols, BASES[1])
-        self.second = Rolling(mix64(symbols ^ np.uint64(BASES[1])), BASES[0])
+        symbols = word_hashes(shard.data, shard.offsets)
+        self.rolling = Rolling(symbols[:, 0], BASES[1])
+        self.second = Rolling(symbols[:, 1], BASES[0])
         self.anchor = width - period + 1
         self.reach = period - 1
         place = np.arange(len(doc)) - self.first[doc]
@@ -60,15 +62,13 @@ class Windows:
         return np.flatnonzero((np.cumsum(edge)[:-1] > 0) & (self.left >= self.width))
 
     def prints(self, at: np.ndarray):
-        a = self.rolling.spans(at, at + self.width)
-        b = (self.second.spans(at, at + self.width) >> np.uint64(32)).astype(np.uint32)
-        return a, b
+        return self.rolling.spans(at, at + self.width), self.second.spans(at, at + self.width)
 
 
 def _twice(columns, lengths, shards) -> np.ndarray:
     """Marks of keys that occur twice or more; the last column marks those that do so within their shard."""
     keys, local = columns[0], columns[-1].astype(bool)
-    other = columns[1] if len(columns) == 3 else np.zeros(len(keys), np.uint32)
+    other = columns[1] if len(columns) == 3 else np.zeros(len(keys), np.uint64)
     order, new, number = distinct_pairs(keys, other)
     total = np.bincount(number, minlength=1)
     return local | (total[number] > 1)
@@ -95,8 +95,8 @@ def repeated_windows(docs: DataFrame, width: int = 35) -> DataFrame:
             local = np.bincount(number, minlength=1) > 1
             yield from sent(shard.id, a[order][new], n_window, a[order][new], b[order][new], local[: int(new.sum())].astype(np.uint8))
 
-    n_window = bucket_count(shards, 1.0)
-    windows = stored(answered(opened.mapInArrow(send_windows, sent_schema(3)), [np.uint64, np.uint32, np.uint8], _twice, "windows"))
+    n_window = bucket_count(shards, 1.3)
+    windows = stored(answered(opened.mapInArrow(send_windows, sent_schema(3)), [np.uint64, np.uint64, np.uint8], _twice, "windows"))
 
     def remove(batches):
         for shard, row in each_shard(batches):
