@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, BYTE_SYMBOLS, Rolling, is_space, mix64, sliced, stored, text_in, utf8, words_of
+from .common import BASES, Rolling, is_space, mix64, sliced, stored, text_in, utf8, word_hashes, words_of
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -40,9 +40,12 @@ def repeated_words(keys: np.ndarray, doc: np.ndarray, n_docs: int, window: int =
         return np.zeros(n_docs, np.int64)
     at = np.arange(n - window + 1)
     at = at[doc[at] == doc[at + window - 1]]
-    h = Rolling(keys, BASES[1]).spans(at, at + window) ^ mix64(doc[at].astype(np.uint64) + np.uint64(1))
+    h = Rolling(keys[:, 0], BASES[1]).spans(at, at + window) ^ mix64(doc[at].astype(np.uint64) + np.uint64(1))
     order = np.argsort(h)
-    same = (h[order][1:] == h[order][:-1]) & (doc[at[order[1:]]] == doc[at[order[:-1]]])
+    a, b = at[order[1:]], at[order[:-1]]
+    same = (h[order][1:] == h[order][:-1]) & (doc[a] == doc[b])
+    for k in range(window):  # equal hashes are no proof: the words themselves, by their own hashes
+        same &= (keys[np.minimum(a + k, n - 1)] == keys[np.minimum(b + k, n - 1)]).all(axis=1)
     twice = np.zeros(len(at), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -60,7 +63,7 @@ def text_signals(column: pa.Array) -> list[np.ndarray]:
     np.cumsum(~is_space(data) & ((data & 0xC0) != 0x80), out=points[1:])
     symbols = np.zeros(len(data) + 1, np.int64)
     np.cumsum(SYMBOLS[data], out=symbols[1:])
-    keys = Rolling(BYTE_SYMBOLS[data], BASES[0]).spans(starts, ends)
+    keys = word_hashes(data, offsets)
     whole = data.tobytes()
     lines = np.array([duplicate_lines(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
     return [
