@@ -104,9 +104,15 @@ line AS (SELECT (SELECT sum(source_size) FROM totals)::DOUBLE AS goal,
   FROM weighed WINDOW before AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 level AS (SELECT max((goal - held) / open_) AS level FROM line),
 rated AS (SELECT *, least(weight * level, 3.0::DOUBLE * source_size) AS target, CASE WHEN source_size > 0 THEN least(weight * level, 3.0::DOUBLE * source_size) / source_size ELSE 0 END AS rate FROM weighed, level),
-drawn AS (SELECT doc_id, size, source_size, target, rate, (floor(rate) + (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate))::INTEGER)::BIGINT AS copies
-  FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source)
-SELECT doc_id, size, source_size, target, copies * size AS taken, copies, rate FROM drawn
+drawn AS (SELECT *, (size >> greatest(length(bin(size)) - 4, 0)) << greatest(length(bin(size)) - 4, 0) AS class,
+  ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS draw FROM sized),
+classes AS (SELECT source, class, count(*) AS n, sum(count(*)) OVER (PARTITION BY source ORDER BY class DESC) AS upto FROM drawn GROUP BY source, class),
+steps AS (SELECT c.source, class, floor(upto * (rate - floor(rate)) + 0.5) - floor((upto - n) * (rate - floor(rate)) + 0.5) AS extra FROM classes c JOIN rated r ON c.source IS NOT DISTINCT FROM r.source),
+ranked AS (SELECT source, class, draw, row_number() OVER (PARTITION BY source, class ORDER BY draw) AS k FROM drawn),
+below AS (SELECT s.source, s.class, draw AS below FROM steps s JOIN ranked r ON s.source IS NOT DISTINCT FROM r.source AND s.class = r.class AND k = extra),
+taken AS (SELECT doc_id, size, source_size, target, rate, (floor(rate) + coalesce(draw <= below, false)::INTEGER)::BIGINT AS copies
+  FROM drawn d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN below b ON d.source IS NOT DISTINCT FROM b.source AND d.class = b.class)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies, rate FROM taken
 """,
     "op5_cover_anchors": f"""
 WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
