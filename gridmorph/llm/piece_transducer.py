@@ -2,28 +2,32 @@
 
 The transducer is the composition of machines compiled from the model: the
 normaliser (a mark for each space and one in front of the text), the pieces
-(one path per piece, its cost the negated score), byte fallback (one path per
-UTF-8 byte, dearer than any piece) and, for a BPE model, the merge order (one
-state per piece; piece v after piece u costs 0 if merging the characters of uv
-ends in u, v, and is infinite otherwise). Composed with a text it becomes a
-lattice of its positions, and encoding is the lattice's shortest path in the
-tropical semiring (min, +); of equal paths the one whose last piece is longest,
-then so backwards. Decoding runs the machines in reverse.
-
-BPE scores rank merges, so the cheapest sum alone is not the library's answer.
-With the merge order exactly one path is finite, and it is: merges inside uv
-come in the same order whatever surrounds them, so a sequence is the result of
-merging if and only if each two neighbours are. This holds for every prefix
-too, so each position of the lattice keeps one state. Merge-order arcs are
-compiled when first met.
+(one path per piece, its cost the negated score; their union is one automaton
+with failure arcs), byte fallback (one path per UTF-8 byte, dearer than any
+piece) and, for a BPE model, the merge order (one state per piece; piece v after
+piece u costs 0 if merging the characters of uv ends in u, v, and is infinite
+otherwise). Composed with a text it becomes a lattice: its positions, the pieces
+that end at each, and the state of the merge order. Encoding is the lattice's
+shortest path in the tropical semiring (min, +), taken position by position; of
+equal paths the one whose last piece is longest, then so backwards. Decoding
+runs the machines in reverse.
+
+BPE scores rank merges, so the cheapest sum alone is not the library's answer;
+the merge order replaces it. Under it exactly one path to each position is
+finite: merges inside uv come in the same order whatever surrounds them, so a
+sequence is the result of merging if and only if each two neighbours are, and
+this holds for every prefix too. A position therefore keeps one state, and the
+first finite arc found is the least. Merge-order arcs are compiled when first
+met.
 
 The lattice falls apart where no piece crosses: in front of a run of marks, if
 no piece holds a mark after another character. Such parts are solved once per
 worker, and parts shared by many texts reuse the path.
 
-Defined cases: null and empty texts have no pieces; a mark character in a text
-cannot be told from a space once normalised and is decoded as one; repeated
-rows give one row each; an empty table gives no rows; further columns are
+Defined cases: null and empty texts have no pieces; a very long text is solved
+part by part and held whole; a mark character in a text cannot be told from a
+space once normalised and is decoded as one; repeated rows give one row each; a
+null doc_id stays null; an empty table gives no rows; further columns are
 ignored.
 """
 
@@ -47,8 +51,8 @@ MARK = "▁"
 PARTS_KEPT = 300_000
 #: Merge-order arcs a worker keeps; beyond it they are compiled anew, so it bounds memory only.
 ARCS_KEPT = 500_000
-#: State in front of a part and after a character that becomes bytes; all pieces come below. FREE: not reached yet.
-START, FREE = (1 << 21) - 1, -2
+#: State in front of a part and after a character that becomes bytes; all pieces come below.
+START = (1 << 21) - 1
 #: Scores below this only say "last": such a piece costs more than all others, less than a byte.
 SENTINEL = -1e6
 SCHEMA = "doc_id long, n_bytes long, n_pieces long, n_fallback long, cost double, ids_crc32 long, decoded_sha256 string, round_trip boolean"
@@ -65,6 +69,8 @@ class PieceTransducer:
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("this normaliser is not compiled here: only the identity with escaped spaces is")
         self.prefix = spec.add_dummy_prefix
+        #: Arcs of the normaliser's one inner state that change a character; its first state writes the mark in front.
+        self.normaliser = {ord(" "): MARK}
         self.merging = proto.trainer_spec.model_type == pb.TrainerSpec.BPE
         if not self.merging and proto.trainer_spec.model_type != pb.TrainerSpec.UNIGRAM:
             raise ValueError("only BPE and unigram models are compiled here")
@@ -75,7 +81,6 @@ class PieceTransducer:
             raise ValueError("user-defined and unused pieces of BPE models are not compiled here")
         self.rank = {p.piece: p.score for p in proto.pieces if p.type == kind.NORMAL}
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == kind.NORMAL}
-        self.widest = max(map(len, self.ids), default=1)
         if self.merging and any(c not in self.ids for p in self.ids for c in p):
             raise ValueError("BPE models with characters that occur in longer pieces only are not compiled here")
         self.arcs: dict[int, bool] = {}
@@ -105,7 +110,8 @@ class PieceTransducer:
         self.older: dict[str, bytes] = {}
 
     def normalise(self, text: str) -> str:
-        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
+        """The one path of the text through the normaliser."""
+        return (MARK if self.prefix and text else "") + text.translate(self.normaliser)
 
     def merge(self, text: str) -> list[str]:
         """The characters of a short text after all merges: the best score first, of equal ones the leftmost."""
@@ -126,51 +132,41 @@ class PieceTransducer:
         known = self.arcs[before << 21 | piece] = self.merge("".join(u) + v) == [*u, v]
         return known
 
-    def merge_states(self, part: str) -> list[int]:
-        """The piece that ends at each position of the one finite path under the merge order, -1 for bytes.
+    def states(self, part: str) -> list[int]:
+        """The last piece of the shortest path to each position of the part's lattice, -1 for bytes.
 
-        A prefix has one finite path only, so a position that led nowhere is not entered again.
+        Arcs are the pieces that end at a position, longest first, so that the longest wins a tie, and the bytes of
+        the character there. An arc adds its piece's cost or, under a merge order, that order's cost after the state
+        it leaves: 0 or infinite.
         """
-        arcs, ids, follows, n = self.arcs, self.ids, self.follows, len(part)
-        reach, widest = self.machine.longest_prefix, self.widest
-        last = [START] + [FREE] * n
-        at, before, length = 0, START, 0
-        while at < n:
-            length = length or reach(part[at : at + widest])
-            while length:
-                piece = ids.get(part[at : at + length])
-                if piece is not None and last[at + length] == FREE:
-                    fits = arcs.get(before << 21 | piece)
-                    if follows(before, piece) if fits is None else fits:
-                        at += length
-                        last[at] = before = piece
-                        length = 0
-                        break
-                length -= 1
-            else:
-                if part[at] not in ids:  # no piece holds this character: it becomes bytes, and a piece may start after it
-                    at += 1
-                    last[at], before = -1, START
-                    length = 0
-                    continue
-                while True:  # back to the piece before, which has to be shorter
-                    length = self.sizes[before] if before != START else 1
-                    at -= length
-                    length -= 1
-                    before = START if last[at] == -1 else last[at]
-                    if length:
-                        break
+        ends: list[list] = [[] for _ in part]
+        for end, arc in self.machine.iter(part):
+            ends[end].append(arc)
+        return self.merge_states(ends) if self.merging else self.cheapest_states(part, ends)
+
+    def merge_states(self, ends: list[list]) -> list[int]:
+        """With the merge order a position's paths cost 0 or are infinite, and one costs 0: the first found is the shortest."""
+        order, follows = self.arcs.get, self.follows
+        last = [START]
+        for end, arcs in enumerate(ends, 1):
+            state = -1  # no piece ends here at a finite cost: the character becomes bytes
+            arcs.sort(reverse=True)
+            for length, _, piece in arcs:
+                before = last[end - length]
+                if before < 0:
+                    before = START
+                fits = order(before << 21 | piece)
+                if follows(before, piece) if fits is None else fits:
+                    state = piece
+                    break
+            last.append(state)
         return last
 
-    def cheapest_states(self, part: str) -> list[int]:
-        """The last piece of the cheapest path to each position, -1 for bytes."""
+    def cheapest_states(self, part: str, ends: list[list]) -> list[int]:
         best = [0.0] + [float("inf")] * len(part)
         last = [START] + [-1] * len(part)
-        ends: list[list] = [[] for _ in part]
-        for end, arc in self.machine.iter(part):
-            ends[end].append(arc)
         for end, arcs in enumerate(ends):
-            for length, cost, piece in sorted(arcs, reverse=True):  # longest first, so that it wins a tie
+            for length, cost, piece in sorted(arcs, reverse=True):
                 if best[end + 1 - length] + cost < best[end + 1]:
                     best[end + 1], last[end + 1] = best[end + 1 - length] + cost, piece
             if self.byte_cost + best[end] < best[end + 1]:
@@ -181,7 +177,7 @@ class PieceTransducer:
 
     def path(self, part: str) -> list[int]:
         """Ids of one part's shortest path."""
-        last = self.merge_states(part) if self.merging else self.cheapest_states(part)
+        last = self.states(part)
         sizes = self.sizes
         ids: list[int] = []
         at = len(part)
