@@ -3,14 +3,16 @@
 Content digests (SHA-256 of the normalised text) and the tokenizer-version
 digest form the key of a stored table of counts. Only distinct contents that
 the table lacks are encoded; their counts are appended to it; every document
-then takes its count from the table by a join.
+then takes its count from the table by a join, to which the counts of popular
+contents are broadcast, so that no task gets all copies of a text.
 
 Normalisation: null counts as the empty text; nothing else is changed, as the
 model's own normaliser runs inside the library and must see the whole text.
 
-Defined cases: null or empty text has 0 bytes and 0 tokens; repeated texts share
-one cache entry; repeated rows give one row each; a null id stays null; an
-empty table gives no rows; further columns are ignored.
+Defined cases: null or empty text has 0 bytes and 0 tokens; a very long text is
+counted whole, like any other; repeated texts share one cache entry; repeated
+rows give one row each; a null id stays null; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 CACHE_SCHEMA = "content binary, tokenizer binary, n_tokens long"
 #: Distinct words that one worker remembers before it starts afresh.
 WORDS_KEPT = 400_000
+#: A content is popular if it makes up more than this part of all rows.
+HOT_SHARE = 10_000
 
 
 def tokenizer_digest(model: bytes) -> bytes:
@@ -91,7 +97,7 @@ class PieceCounter:
 
 
 def token_counts(docs: DataFrame, model_path: str, cache_path: str, over: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, cached; appends what it had to encode to the table at cache_path."""
+    """doc_id, n_bytes, n_tokens, over_limit of every document; appends what it had to encode to the table at cache_path."""
     spark = docs.sparkSession
     model = Path(model_path).read_bytes()
     version = tokenizer_digest(model)
@@ -105,6 +111,7 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str, over: int =
     known = cache.where(mine).select("content").distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("content"), text.alias("text"))
+    narrow = stored(keyed.drop("text"))
     misses = keyed.select("content", "text").join(known, "content", "left_anti").groupBy("content").agg(F.any_value("text").alias("text"))
 
     def encode(batches):
@@ -117,4 +124,9 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str, over: int =
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(mine).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    return keyed.drop("text").join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
+    # contents that more than one row in HOT_SHARE has: fewer than HOT_SHARE of them, so they can be sent to all tasks; the rest cannot crowd one
+    hot = narrow.groupBy("content").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > narrow.count() / HOT_SHARE).select("content")
+    popular = stored(counts.join(hot, "content"))
+    rest = narrow.join(F.broadcast(popular.select("content")), "content", "left_anti").join(counts, "content")
+    out = narrow.join(F.broadcast(popular), "content").unionByName(rest)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"))
