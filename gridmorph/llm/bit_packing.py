@@ -26,22 +26,23 @@ first; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 import zlib
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import qualified, shared_dir, stored, worker_cache
+from .common import BASES, BYTE_SYMBOLS, Rolling, covered_by, qualified, shared_dir, sliced, stored, utf8, worker_cache, words_of
 
 MAGIC = b"GMBITS01"
 BLOCK_IDS = 1 << 16
-WORDS_KEPT = 600_000
+#: Units that one worker remembers before it starts afresh.
+WORDS_KEPT = 500_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -89,11 +90,12 @@ class Writer:
         self.at, self.rest, self.held, self.total = len(MAGIC), [], 0, 0
         self.docs, self.null, self.first, self.blocks = [], [], [0], [len(MAGIC)]
 
-    def add(self, doc_id, ids: np.ndarray) -> None:
-        self.docs.append(doc_id or 0)
-        self.null.append(doc_id is None)
+    def add(self, doc_ids: list, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of some documents, one after another."""
+        self.docs += [d or 0 for d in doc_ids]
+        self.null += [d is None for d in doc_ids]
+        self.first += (self.total + np.cumsum(lengths)).tolist()
         self.total += len(ids)
-        self.first.append(self.total)
         self.rest.append(ids)
         self.held += len(ids)
         if self.held >= BLOCK_IDS:
@@ -159,29 +161,42 @@ class Reader:
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-#: A capital letter that what follows it might combine with: lower-casing first would then cross the normaliser.
-CAPITAL_BEFORE_MARK = re.compile(rb"[A-Z][\x80-\xff]")
-#: A run of Latin letters, with punctuation after it or without.
-PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Marks of the bytes of ASCII and Latin-1 letters."""
+    low = data | 32
+    out = (low >= 97) & (low <= 122)
+    pair = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    out[:-1] |= pair
+    out[1:] |= pair
+    return out
 
 
-class WordEncoder:
-    """Ids of whole texts from those of their distinct words.
+def _punctuation(data: np.ndarray) -> np.ndarray:
+    low = data | 32
+    return (data > 32) & (data < 127) & ~((low >= 97) & (low <= 122)) & ~((data >= 48) & (data <= 57))
+
 
-    Valid for tokenizers whose normaliser and pre-tokenizer act within runs
-    free of ASCII white space and drop the white space itself (``by_word``);
-    others encode whole texts. Where each pre-token also ends in a token with
-    the end-of-word suffix (``suffix``), new plain words are encoded as one text
-    and its ids are cut behind those tokens.
+class WordEncoder:
+    """Ids of whole texts from those of their distinct units.
+
+    Units are words, for tokenizers whose normaliser and pre-tokenizer act
+    within runs free of ASCII white space and drop the white space itself
+    (``by_word``); others encode whole texts. Where each pre-token also ends in
+    a token with the end-of-word suffix, a word of Latin letters with
+    punctuation after it is two units, and new units of one pre-token each are
+    encoded as one text whose ids are cut behind those tokens. Units are known
+    by 64-bit hashes of their bytes; a unit of over ``LONG`` bytes is encoded
+    anew each time.
     """
 
+    LONG = 200
+
     def __init__(self, definition: bytes, by_word: bool):
         import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_buffer(definition), by_word
-        self.known: dict[bytes, bytes] = {}
         parsed = json.loads(definition)
         suffix = parsed["model"].get("end_of_word_suffix")
         lower = '"Lowercase"' in json.dumps(parsed.get("normalizer"))
@@ -190,61 +205,88 @@ class WordEncoder:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_plain(self, runs: list[bytes]) -> list[bytes]:
-        """Each run is one pre-token: letters only, or punctuation only."""
-        if not runs:
-            return []
-        raw = self._encode([b" ".join(runs).decode()])[0]
-        cuts = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
-        if len(cuts) != len(runs):
-            return self._encode([r.decode() for r in runs])
-        return [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        known = self.known
-        plain, other, runs = [], [], set()
-        for w in words:
-            m = PLAIN.fullmatch(w) if self.ends is not None else None
-            if m:
-                core, tail = m[1].lower(), m[2]
-                plain.append((w, core, tail))
-                runs.add(core)
-                if tail:
-                    runs.add(tail)
-            else:
-                other.append(w)
-        new = [r for r in runs if r not in known]
-        known.update(zip(new, self._encode_plain(new), strict=True))
-        for w, core, tail in plain:
-            known[w] = known[core] + known[tail] if tail else known[core]
-        known.update(zip(other, self._encode([w.decode() for w in other]), strict=True))
-
-    def _lowered(self, text: bytes) -> bytes:
-        """The text in lower case, which makes fewer words, where that cannot change its ids.
-
-        It can where the text may hold a special token's letters, and where a capital
-        stands before a character that it could combine with: the normaliser composes
-        before it lower-cases.
-        """
-        if self.ends is None or b"<|" in text or not text.isascii() and CAPITAL_BEFORE_MARK.search(text):
-            return text
-        return text.lower()
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.flat, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_units(self, units: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the units, one after another, and how many each has; plain units are one pre-token each and come first."""
+        n = int(plain.sum())
+        found, sizes = [], []
+        if n:
+            ids = self._encode([b" ".join(units[:n]).decode()])[0]
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == n and cuts[-1] == len(ids):
+                found, sizes = [ids], np.diff(cuts, prepend=0).tolist()
+                units = units[n:]
+        rest = self._encode([u.decode() for u in units]) if units else []
+        return np.concatenate([*found, *rest]) if found or rest else np.zeros(0, np.uint32), np.array(sizes + [len(x) for x in rest], np.int64)
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray):
+        """The bytes to be encoded, the units' starts and ends in them, and which are one pre-token."""
+        starts, ends, _ = words_of(data, offsets)
+        if self.ends is None or not len(starts):
+            return data, starts, ends, np.zeros(len(starts), bool)
+        # lower-casing first makes fewer units; not in a word where it could change the ids: one that may hold a special
+        # token's letters, or a capital in front of a character that it could combine with, as the normaliser composes first
+        capital = (data >= 65) & (data <= 90)
+        kept = np.zeros(len(data), bool)
+        kept[:-1] = (capital[:-1] & (data[1:] >= 128)) | ((data[:-1] == 60) & (data[1:] == 124))
+        held = np.searchsorted(starts, np.flatnonzero(kept), "right") - 1
+        as_is = np.zeros(len(starts), bool)
+        as_is[held] = True
+        low = data + (capital & ~covered_by(len(data), starts[as_is], ends[as_is])).astype(np.uint8) * np.uint8(32)
+        letters = np.concatenate([[0], np.cumsum(_letters(low))])
+        marks = np.concatenate([[0], np.cumsum(_punctuation(low))])
+        n_letters, n_marks = letters[ends] - letters[starts], marks[ends] - marks[starts]
+        plain = ~as_is & (n_letters > 0) & (n_letters + n_marks == ends - starts) & (letters[starts + n_letters] - letters[starts] == n_letters)
+        middle = (starts + n_letters)[plain & (n_marks > 0)]
+        begin, finish = np.zeros(len(low) + 1, bool), np.zeros(len(low) + 1, bool)
+        begin[starts] = finish[ends] = True
+        begin[middle] = finish[middle] = True
+        one = np.zeros(len(low), bool)
+        one[starts[plain]] = one[middle] = True
+        first = np.flatnonzero(begin)
+        return low, first, np.flatnonzero(finish), one[first]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
         if not self.by_word:
-            return [np.frombuffer(x, "<u4") for x in self._encode([t.decode() for t in texts])]
-        words = [self._lowered(t).split() for t in texts]
-        seen = set().union(*words)
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        if missing := seen - self.known.keys():
-            self.learn(missing)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)), "<u4") for x in words]
+            found = self._encode([t or "" for t in column.to_pylist()])
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+        data, offsets = utf8(column)
+        data, starts, ends, plain = self._units(data, offsets)
+        long = ends - starts > self.LONG
+        keys = Rolling(BYTE_SYMBOLS[data], BASES[0]).spans(starts, ends)
+        keys[long] = np.flatnonzero(long)  # told apart from all others of this block
+        codes, distinct = pd.factorize(keys)
+        where = np.empty(len(distinct), np.int64)
+        where[codes[::-1]] = np.arange(len(codes))[::-1]  # the first place of each
+        if len(self.known) + len(distinct) > WORDS_KEPT:
+            self.forget()
+        place = np.fromiter((self.known.get(k, -1) for k in distinct.tolist()), np.int64, len(distinct))
+        place[long[where]] = -1
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            new = new[np.argsort(~plain[where[new]], kind="stable")]
+            raw, own = data.tobytes(), where[new]
+            ids, sizes = self._encode_units([raw[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)], plain[own])
+            place[new] = np.arange(len(new)) + len(self.at)
+            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.size = np.concatenate([self.size, sizes])
+            self.flat = np.concatenate([self.flat, ids])
+            short = ~long[own]
+            self.known.update(zip(distinct[new[short]].tolist(), place[new[short]].tolist(), strict=True))
+        unit = place[codes]
+        at, size = self.at[unit], self.size[unit]
+        ids = self.flat[np.arange(int(size.sum())) + np.repeat(at - np.cumsum(size) + size, size)]
+        totals = np.concatenate([[0], np.cumsum(size)])
+        return ids, np.diff(totals[np.searchsorted(starts, offsets)])
 
 
 def words_apart(definition: bytes) -> bool:
@@ -276,8 +318,7 @@ def write_ids(docs: DataFrame, definition: bytes, folder: str, end_id: int) -> D
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, out = None, None
         for b in batches:
-            for at in range(0, b.num_rows, 400):
-                part = b.slice(at, 400)
+            for part in sliced(b, 1):
                 if out is None:
                     encoder = worker_cache(f"words-{digest}", lambda: WordEncoder(definition, by_word))
                     store, where = open_fs(folder)
@@ -286,9 +327,8 @@ def write_ids(docs: DataFrame, definition: bytes, folder: str, end_id: int) -> D
                     private = f"{where}/.{name}.{uuid.uuid4().hex}"
                     stream = store.open_output_stream(private)
                     out = Writer(stream, width)
-                texts = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    out.add(doc_id, np.append(ids, np.uint32(end_id)))
+                ids, lengths = encoder.encode(part.column(1))
+                out.add(part.column(0).to_pylist(), np.insert(ids, np.cumsum(lengths), np.uint32(end_id)), lengths + 1)
         if out is not None:
             out.close()
             stream.close()

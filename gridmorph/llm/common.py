@@ -202,14 +202,6 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Two independent 64-bit symbols (XXH3-128) of each word that words_of() finds, as rows."""
-    raw = data.tobytes()
-    # bytes.split() splits at 0x20 and 0x09-0x0D
-    digests = [b"".join(map(xxhash.xxh3_128_digest, raw[a:b].split())) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3."""
     x = x.astype(np.uint64, copy=True)
@@ -251,8 +243,33 @@ class Rolling:
 
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-#: A 64-bit symbol for each byte value.
+#: A 64-bit symbol for each byte value, in two independent alphabets.
 BYTE_SYMBOLS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
+OTHER_SYMBOLS = mix64(BYTE_SYMBOLS ^ np.uint64(0xA0761D6478BD642F))
+
+
+#: Words up to this many bytes are hashed by two rolling hashes at once; they cannot hold the long patterns on which such hashes agree.
+SHORT_WORD = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit symbols of each word, as rows: rolling hashes over two alphabets for short words, XXH3-128 for others."""
+    out = np.empty((len(starts), 2), np.uint64)
+    for k in (0, 1):
+        out[:, k] = Rolling(BYTE_SYMBOLS[data] if k == 0 else OTHER_SYMBOLS[data], BASES[k]).spans(starts, ends)
+    long = np.flatnonzero(ends - starts > SHORT_WORD)
+    if len(long):
+        view = memoryview(data)
+        out[long] = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+    return out
+
+
+def covered_by(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Marks of the positions 0..n-1 inside spans that do not overlap."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    return np.cumsum(edge[:n], dtype=np.int8) > 0
 
 
 def covered(n: int, starts: np.ndarray, width) -> np.ndarray:
