@@ -6,9 +6,8 @@ the same distance behind them. Of any two equal windows of ``width`` words
 therefore starts at the same place in both. So only |cover| / v of the
 positions are hashed at first; an anchor that occurs twice opens the windows
 around it, and these windows are then counted exactly, by fingerprints of 128
-bits: two rolling hashes of 64 bits over the two halves of the words' XXH3-128
-digests, so neither the words' letters nor one half decide alone. A word goes if
-any window over it occurs elsewhere.
+bits: two rolling hashes of 64 bits over two independent hashes of the words
+(XXH3-128 for long words). A word goes if any window over it occurs elsewhere.
 
 Defined cases: null and empty texts have no words; windows never cross
 documents; a very long text is a shard of its own and read whole; rows that
@@ -40,7 +39,7 @@ class Windows:
         n_docs = len(shard.offsets) - 1
         self.n_words = np.bincount(doc, minlength=n_docs)
         self.first = np.concatenate([[0], np.cumsum(self.n_words)])
-        symbols = word_hashes(shard.data, shard.offsets)
+        symbols = word_hashes(shard.data, self.starts, self.ends)
         self.rolling = Rolling(symbols[:, 0], BASES[1])
         self.second = Rolling(symbols[:, 1], BASES[0])
         self.anchor = width - period + 1

@@ -63,7 +63,7 @@ def text_signals(column: pa.Array) -> list[np.ndarray]:
     np.cumsum(~is_space(data) & ((data & 0xC0) != 0x80), out=points[1:])
     symbols = np.zeros(len(data) + 1, np.int64)
     np.cumsum(SYMBOLS[data], out=symbols[1:])
-    keys = word_hashes(data, offsets)
+    keys = word_hashes(data, starts, ends)
     whole = data.tobytes()
     lines = np.array([duplicate_lines(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
     return [
