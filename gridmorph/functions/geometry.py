@@ -75,20 +75,23 @@ UTM_SCALE, FALSE_EASTING, FALSE_NORTHING = 0.9996, 500_000.0, 10_000_000.0
 EQUAL_AREA_PARALLEL = 30.0
 
 
-def utm(lon: Column, lat: Column) -> Column:
-    """struct(x, y) in metres in the point's own UTM zone, by the third-order Krüger series."""
+def utm(lon: Column, lat: Column, zone: Column | None = None, south: Column | None = None) -> Column:
+    """struct(x, y) in metres in the point's own UTM zone, by the third-order Krüger series.
+
+    All points of a site share the zone (0..59) and hemisphere that are given.
+    """
     n = FLATTENING / (2 - FLATTENING)
     radius = UTM_SCALE * EQUATOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     series = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
     e = 2 * math.sqrt(n) / (1 + n)
-    zone = F.least(F.floor((lon + 180) / 6), F.lit(59))
+    zone = F.least(F.floor((lon + 180) / 6), F.lit(59)) if zone is None else zone
     dlon = F.radians(lon - (zone * 6 - 177))
     sine = F.sin(F.radians(lat))
     t = F.sinh(F.atanh(sine) - e * F.atanh(e * sine))
     xi, eta = F.atan2(t, F.cos(dlon)), F.atanh(F.sin(dlon) / F.sqrt(1 + t * t))
     x = eta + sum((a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(series, 1)), F.lit(0.0))
     y = xi + sum((a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(series, 1)), F.lit(0.0))
-    return F.struct((FALSE_EASTING + radius * x).alias("x"), (radius * y + F.when(lat < 0, FALSE_NORTHING).otherwise(0.0)).alias("y"))
+    return F.struct((FALSE_EASTING + radius * x).alias("x"), (radius * y + F.when(lat < 0 if south is None else south, FALSE_NORTHING).otherwise(0.0)).alias("y"))
 
 
 def equal_area(lon: Column, lat: Column) -> Column:
@@ -104,3 +107,35 @@ def equal_area(lon: Column, lat: Column) -> Column:
 def projected_ring(ring: Column, to=utm) -> Column:
     """A ring of structs (x: longitude, y: latitude) in metres."""
     return F.transform(ring, lambda p: to(p["x"], p["y"]))
+
+
+#: Latitudes that the zones cover; beyond them the spherical web grid serves.
+UTM_SOUTH, UTM_NORTH = -80.0, 84.0
+
+
+def web_mercator(lon: Column, lat: Column) -> Column:
+    """struct(x, y) in metres on the spherical web grid (SRID 3857)."""
+    return F.struct((EQUATOR * F.radians(lon)).alias("x"), (EQUATOR * F.ln(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2))).alias("y"))
+
+
+def metric_srid(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:
+    """SRID of the grid for an extent: the UTM zone of its middle, or the web grid where no zone reaches."""
+    lon, lat = (min_lon + max_lon) / 2, (min_lat + max_lat) / 2
+    return F.when(lat.between(UTM_SOUTH, UTM_NORTH) & lon.between(-180, 180), utm_srid(lon, lat)).otherwise(F.lit(3857))
+
+
+def to_metric(rings: Column, srid: Column) -> Column:
+    """Rings of (x: longitude, y: latitude) in metres on the grid of the SRID."""
+    zone, south = F.pmod(srid, F.lit(100)) - 1, srid >= 32700
+
+    def project(p):
+        return F.when(srid == 3857, web_mercator(p["x"], p["y"])).otherwise(utm(p["x"], p["y"], zone, south))
+
+    return F.transform(rings, lambda r: F.transform(r, project))
+
+
+def with_heights(features, storey: float = 3.0, default: float = 12.0):
+    """features(attrs: map) with ``height`` in metres and ``source``, the attribute it comes from."""
+    keys = F.array(*[F.lit(k) for k in (*METRE_KEYS, *LEVEL_KEYS)])
+    known = F.map_from_arrays(keys, F.transform(keys, lambda k: F.try_element_at("attrs", k)))
+    return features.withColumn("h_", height_and_source(known, storey, default)).withColumns({"height": F.col("h_")["value"], "source": F.col("h_")["source"]}).drop("h_")

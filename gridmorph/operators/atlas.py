@@ -21,13 +21,13 @@ def outstanding(wanted: DataFrame, results: DataFrame, keys: list[str], fits: Co
     return wanted.join(results.where(fits).select(*keys).distinct(), keys, "left_anti")
 
 
-def audited(rows: DataFrame, failures: dict[str, Column], warnings: dict[str, Column]) -> DataFrame:
+def audited(rows: DataFrame, failures: dict[str, Column], warnings: dict[str, Column], warned: str = "warning") -> DataFrame:
     """quality_status with the reasons of the rules that hold; a null condition does not hold."""
     def reasons(rules):
         return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]))
 
     out = rows.withColumn("failed_", reasons(failures)).withColumn("warned_", reasons(warnings))
-    status = F.when(F.size("failed_") > 0, "fail").when(F.size("warned_") > 0, "warning").otherwise("pass")
+    status = F.when(F.size("failed_") > 0, "fail").when(F.size("warned_") > 0, warned).otherwise("pass")
     return out.withColumn("quality_status", status).withColumn("fail_reasons", F.concat_ws(";", "failed_")).withColumn("warning_reasons", F.concat_ws(";", "warned_")).drop("failed_", "warned_")
 
 

@@ -91,6 +91,53 @@ def window_fits(counts: DataFrame, least: int = 4) -> DataFrame:
     return fits.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy(F.desc(F.round("score", 9)), "start", "stop")))
 
 
+def box_sizes(side: Column, px: Column, min_px: int = 2, fraction: float = 0.25, points: int = 6, scale_max: float = 3200.0) -> Column:
+    """Box sizes of a grid by its shorter side: min_px doubled up to a fraction of the side, on until there are ``points`` of them or the
+    side is reached, and on up to the scale that all sites share."""
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.struct(i.alias("i"), (F.pow(F.lit(2.0), i) * max(1, min_px)).cast("long").alias("n")))
+    widest = F.greatest(F.lit(2).cast("long"), F.floor(side * fraction))
+    common = F.least(side, F.greatest(F.lit(1).cast("long"), F.floor(F.lit(float(scale_max)) / px)))
+    kept = F.filter(sizes, lambda s: (s["n"] <= widest) | ((s["i"] < points) & (s["n"] <= side)) | (s["n"] <= common))
+    return F.transform(kept, lambda s: s["n"])
+
+
+def scaling_fit(cells: DataFrame, sizes: Sequence[int], px: float = 1.0, points: int = 6, scale_min: float | None = 50.0, scale_max: float | None = 3200.0) -> DataFrame:
+    """The fitted dimension of each site with the deviations of its slopes over grid origins and over scales left out, and the method used.
+
+    Scales lie in [scale_min, scale_max]; a site with fewer than ``points`` of
+    them takes all it has. Origins count whose boxes all scales have.
+    """
+    offsets = offset_counts(cells, sizes)
+    counts = in_range(box_counts(cells, sizes, px), scale_min, scale_max, points)
+    fit = box_dimension(counts)
+    used = counts.select("site", "bs", "scale_m", F.count(F.lit(1)).over(Window.partitionBy("site")).alias("scales"), "fallback")
+    slopes = offsets.join(used, ["site", "bs"]).groupBy("site", "k").agg(F.regr_slope(F.ln("n"), -F.ln("scale_m")).alias("slope"), F.count(F.lit(1)).alias("n"), F.first("scales").alias("scales"))
+    by_origin = slopes.where("n = scales").groupBy("site").agg(F.coalesce(F.stddev_samp("slope"), F.lit(0.0)).alias("grid_offset_std"))
+    left_out = leave_one_out(counts).groupBy("site").agg(F.when(F.count(F.lit(1)) >= 4, F.stddev_samp("slope")).otherwise(0.0).alias("leave_one_out_std"))
+    how = used.groupBy("site").agg(F.when(F.bool_or("fallback"), "box_counting_available_range_multi_origin_fallback").otherwise("box_counting_fixed_physical_range_multi_origin").alias("method"))
+    out = fit.join(by_origin, "site", "left").join(left_out, "site", "left").join(how, "site")
+    steep = F.when(F.abs("dimension") > 1e-15, F.abs("dimension"))
+    out = out.withColumn("grid_offset_std", F.coalesce("grid_offset_std", F.lit(0.0)))
+    return out.withColumns({"grid_offset_cv": F.col("grid_offset_std") / steep, "leave_one_out_cv": F.col("leave_one_out_std") / steep})
+
+
+def integral_image(cells: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+    """site, y, x, total: occupied cells up to each cell of the rectangle, inclusive, by two running sums."""
+    sites = cells.select("site").distinct()
+    rows = sites.select("site", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))).alias("y"))
+    grid = rows.select("site", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cols - 1).cast("long"))).alias("x"))
+    marked = grid.join(cells.select("site", "y", "x", F.lit(1).alias("m")).distinct(), ["site", "y", "x"], "left")
+    along = F.sum(F.coalesce("m", F.lit(0))).over(Window.partitionBy("site", "y").orderBy("x"))
+    return marked.select("site", "y", "x", along.alias("row")).select("site", "y", "x", F.sum("row").over(Window.partitionBy("site", "x").orderBy("y")).alias("total"))
+
+
+def lacunarity_summary(curve: DataFrame, px: float = 1.0) -> DataFrame:
+    """site, least, greatest and mean lacunarity, and the window where it peaks (of equals the smallest)."""
+    fine = curve.where("lacunarity is not null and not isnan(lacunarity)")
+    peak = F.max(F.struct("lacunarity", (-F.col("ws")).alias("back")))["back"]
+    return fine.groupBy("site").agg(F.min("lacunarity").alias("min"), F.max("lacunarity").alias("max"), F.avg("lacunarity").alias("mean"), (-peak * float(px)).alias("peak_window_m"))
+
+
 def moments(cells: DataFrame, sizes: Sequence[int], qs: Sequence[float], px: float = 1.0) -> DataFrame:
     """site, bs, q, value: sum of p^q over the boxes, or of p ln p at q = 1."""
     o = cells.where("mass > 0").select("site", "y", "x", "mass", F.explode(F.array(*[F.lit(s).cast("long") for s in sorted(set(sizes))])).alias("bs"))
@@ -126,6 +173,19 @@ def order_diagnostics(spec: DataFrame) -> DataFrame:
     )
 
 
+def spectrum_checks(spec: DataFrame) -> DataFrame:
+    """site, the order diagnostics of the eligible orders (q >= 0, well fitted) and of all well fitted ones, and whether all orders stay
+    within the embedding dimension; fewer than two orders fail."""
+    def diagnosed(chosen, suffix):
+        d = order_diagnostics(spec.where(chosen))
+        return d.select("site", *[F.col(c).alias(c + suffix) for c in ("n_q", "max_step", "max_excess", "monotone")])
+
+    every = order_diagnostics(spec).select("site", "embedding_pass")
+    out = every.join(diagnosed(F.col("atlas_eligible"), ""), "site", "left").join(diagnosed(F.col("fit_pass"), "_all_fitted"), "site", "left")
+    names = {f"monotone{x}": F.coalesce(f"monotone{x}", F.lit(False)) for x in ("", "_all_fitted")} | {f"n_q{x}": F.coalesce(f"n_q{x}", F.lit(0).cast("long")) for x in ("", "_all_fitted")}
+    return out.withColumns(names)
+
+
 def window_masses(cells: DataFrame, sizes: Sequence[int], n_rows: int, n_cols: int) -> DataFrame:
     """site, ws, wy, wx, mass: cells in each sliding window (stride a quarter of its size) that has any."""
     both = F.explode(F.array(*[F.struct(F.lit(w).cast("long").alias("ws"), F.lit(max(1, w // 4)).cast("long").alias("st")) for w in sorted(set(sizes)) if w <= min(n_rows, n_cols)])).alias("w")

@@ -55,16 +55,72 @@ def feature_quality(long: DataFrame, most_missing: float = 0.30) -> DataFrame:
 
 
 def benjamini_hochberg(p: DataFrame) -> DataFrame:
-    """Adjusted p-values of p(name, p)."""
-    w = Window.orderBy("p", "name")
+    """Adjusted p-values of p(name, p); a null or NaN p is not counted and stays null.
+
+    One window over all tests: a row for each of some dozens of features.
+    """
+    known = F.col("p").isNotNull() & ~F.isnan("p")
+    valid = p.where(known)
     n = F.count(F.lit(1)).over(Window.partitionBy())
-    raw = p.withColumn("raw", F.col("p") * n / F.row_number().over(w))
+    raw = valid.withColumn("raw", F.col("p") * n / F.row_number().over(Window.orderBy("p", "name")))
     back = Window.orderBy(F.desc("p"), F.desc("name")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return raw.select("name", "p", F.least(F.min("raw").over(back), F.lit(1.0)).alias("p_adjusted"))
+    adjusted = raw.select("name", "p", F.least(F.min("raw").over(back), F.lit(1.0)).alias("p_adjusted"))
+    return adjusted.unionByName(p.where(~known).select("name", "p", F.lit(None).cast("double").alias("p_adjusted")))
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided p-value of a standard normal deviate, by the series of the distribution function; 0 beyond 8."""
+    x2 = z * z
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.struct(F.abs(z).alias("term"), F.abs(z).alias("sum")), lambda a, k: F.struct((a["term"] * x2 / (2 * k + 1)).alias("term"), (a["sum"] + a["term"] * x2 / (2 * k + 1)).alias("sum")))["sum"]
+    return F.when(F.abs(z) > 8, 0.0).otherwise(F.greatest(1 - 2 * total * F.exp(-x2 / 2) / math.sqrt(2 * math.pi), F.lit(0.0)))
+
+
+def student_p(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t with a whole number of degrees of freedom, by its finite trigonometric sum."""
+    angle = F.atan(F.abs(t) / F.sqrt(df))
+    c2 = F.cos(angle) * F.cos(angle)
+    odd = df % 2 == 1
+    # terms 1, 2/3 c2, 2/3 4/5 c2^2 ... for odd df, 1, 1/2 c2, 1/2 3/4 c2^2 ... for even ones
+    n = F.when(odd, (df - 1) / 2).otherwise(df / 2).cast("int")
+    def step(a, k):
+        term = a["term"] * c2 * F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+        return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"))
+
+    total = F.aggregate(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), step)["sum"]
+    total = F.when(n > 0, total).otherwise(0.0)
+    within = F.when(odd, 2 / math.pi * (angle + F.sin(angle) * F.cos(angle) * total)).otherwise(F.sin(angle) * total)
+    return F.greatest(1 - within, F.lit(0.0))
+
+
+def spearman_p(rho: DataFrame) -> DataFrame:
+    """spearman() with p: 0 on the diagonal and for perfect correlation, null below four complete pairs."""
+    p = F.when(F.col("feature") == F.col("other"), 0.0).when(F.col("n") < 4, F.lit(None)).when(F.abs("rho") >= 1, 0.0).otherwise(student_p(F.col("t"), F.col("n") - 2))
+    return rho.withColumn("p", p)
+
+
+def imputed(long: DataFrame, most_missing: float = 0.30) -> DataFrame:
+    """long(site, feature, value) of the features that feature_quality() keeps, missing values replaced by their feature's median."""
+    kept = feature_quality(long, most_missing).where("verdict = 'keep'").select("feature", "median")
+    return long.join(F.broadcast(kept), "feature").select("site", "feature", F.coalesce(F.when(~F.isnan("value"), F.col("value")), F.col("median")).alias("value"))  # a row for each feature
+
+
+def redundancy(spark, order: list[str], rho: DataFrame, threshold: float = 0.90) -> DataFrame:
+    """feature, status, redundant_with, rho for the features in candidate order: one that correlates at the threshold with one kept before is dropped.
+
+    rho(feature, other, rho) is collected: a row for each pair of some dozens of features.
+    """
+    known = {(r["feature"], r["other"]): r["rho"] for r in rho.select("feature", "other", "rho").collect()}
+    kept, rows = [], []
+    for f in order:
+        against = next((k for k in kept if known.get((f, k)) is not None and abs(known[f, k]) >= threshold), None)
+        rows.append((f, "drop_redundant" if against else "keep", against or "", known[f, against] if against else None))
+        if not against:
+            kept.append(f)
+    return spark.createDataFrame(rows, "feature string, status string, redundant_with string, spearman_rho double")
 
 
 def mann_whitney(long: DataFrame, group: str, a: str, b: str) -> DataFrame:
-    """U of group a against b for each feature, with medians and the tie-corrected normal deviate."""
+    """U of group a against b for each feature, with medians, the tie- and continuity-corrected normal deviate and its two-sided p."""
     x = long.where(F.col(group).isin(a, b))
     r = average_ranks(x)
     ties = r.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("t")).groupBy("feature").agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
@@ -75,7 +131,7 @@ def mann_whitney(long: DataFrame, group: str, a: str, b: str) -> DataFrame:
     n = F.col("n1") + F.col("n2")
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
     d = F.abs(u - F.col("n1") * F.col("n2") / 2.0)
-    return s.select("feature", "n1", "n2", u.alias("u"), "median_a", "median_b", (F.col("median_a") - F.col("median_b")).alias("difference"), F.when(sd > 0, F.greatest(d - 0.5, F.lit(0.0)) / sd).alias("deviate"))
+    return s.select("feature", "n1", "n2", u.alias("u"), "median_a", "median_b", (F.col("median_a") - F.col("median_b")).alias("difference"), F.when(sd > 0, F.greatest(d - 0.5, F.lit(0.0)) / sd).alias("deviate")).withColumn("p", normal_tail(F.col("deviate")))
 
 
 def adjusted_rand(pairs: DataFrame) -> DataFrame:
@@ -149,6 +205,34 @@ def redundant(order: list[str], rho: dict[tuple[str, str], float], threshold: fl
     return kept
 
 
+def matrix_of(z: DataFrame, features: list[str]) -> tuple[list, np.ndarray]:
+    """Sites in order and the matrix of their standardized features; a row for each of MOST_SITES sites at most."""
+    wide = z.groupBy("site").pivot("feature", features).agg(F.first("z")).orderBy("site")
+    rows = wide.limit(MOST_SITES + 1).toPandas()
+    if len(rows) > MOST_SITES:
+        raise ValueError("too many sites for the driver")
+    return rows["site"].tolist(), rows[features].fillna(0.0).to_numpy(float)
+
+
+def pca_full(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, explained shares and loadings."""
+    x = matrix - matrix.mean(axis=0)
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    n = min(x.shape[1], max(1, x.shape[0] - 1))
+    share = s**2 / (s**2).sum() if (s**2).sum() > 0 else np.zeros_like(s)
+    return (u * s)[:, :n], share[:n], vt[:n].T
+
+
+def component_table(spark, shares: np.ndarray) -> DataFrame:
+    """component, explained, cumulative, and whether clusters are sought in it."""
+    k = retained(shares)
+    return spark.createDataFrame([(i + 1, float(s), float(c), i < k) for i, (s, c) in enumerate(zip(shares, np.cumsum(shares), strict=True))], "component long, explained double, cumulative double, retained boolean")
+
+
+def stability_summary(rounds: DataFrame) -> DataFrame:
+    return rounds.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.avg("ari").alias("mean"), F.median("ari").alias("median"), F.min("ari").alias("least"), F.max("ari").alias("most"))
+
+
 def pca(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scores and explained shares of the standardized columns; sites are few, so this runs on the driver."""
     x = matrix - matrix.mean(axis=0)
@@ -158,9 +242,43 @@ def pca(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (u * s)[:, :n], share[:n]
 
 
+def retained(shares, least: float = 0.90) -> int:
+    """Components kept for clustering: the first whose shares sum up to ``least``, two at least, all at most."""
+    total = np.cumsum(shares)
+    return int(max(2, min(np.searchsorted(total, least) + 1, len(total))))
+
+
+#: Sites that the driver clusters: the distance matrix has their square.
+MOST_SITES = 5_000
+
+
+def ward_merges(points: np.ndarray) -> list[tuple[int, int, float, int]]:
+    """Ward's merges as (left, right, height, size), clusters numbered 0..n-1 for points and n + step for merges."""
+    n = len(points)
+    if n > MOST_SITES:
+        raise ValueError(f"{n} sites are too many to cluster on the driver")
+    d = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    size, name, out = np.ones(n), np.arange(n), []
+    for step in range(n - 1):
+        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
+        total = size[i] + size[j] + size
+        row = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / total
+        row[~np.isfinite(row)] = np.inf
+        out.append((int(min(name[i], name[j])), int(max(name[i], name[j])), float(np.sqrt(d[i, j])), int(size[i] + size[j])))
+        d[i], d[:, i] = row, row
+        d[i, i] = np.inf
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        name[i] = n + step
+    return out
+
+
 def ward(points: np.ndarray, k: int) -> np.ndarray:
     """Labels 1..k of Ward's clustering by the Lance-Williams recurrence (hundreds of sites, on the driver)."""
     n = len(points)
+    if n > MOST_SITES:
+        raise ValueError(f"{n} sites are too many to cluster on the driver")
     d = ((points[:, None] - points[None]) ** 2).sum(axis=2)
     np.fill_diagonal(d, np.inf)
     size, label = np.ones(n), np.arange(n)
@@ -188,7 +306,7 @@ def cluster_stability(spark, matrix: np.ndarray, labels: np.ndarray, k: int, rou
                 if i % 2 == 0:
                     mode, x = "noise", matrix + rng.normal(0, 0.05, matrix.shape)
                 else:
-                    keep = rng.choice(matrix.shape[1], max(2, int(round(0.8 * matrix.shape[1]))), replace=False)
+                    keep = rng.choice(matrix.shape[1], max(2, math.ceil(0.8 * matrix.shape[1])), replace=False)
                     mode, x = "features", matrix[:, keep]
                 table = pd.crosstab(labels, ward(x, k)).to_numpy(float)
                 c2 = lambda v: v * (v - 1) / 2

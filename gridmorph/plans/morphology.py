@@ -194,7 +194,7 @@ def conductivity(spark, sf_dir):
 @query(f"WITH {_K}, e AS (SELECT a.y, a.x, b.x AS ox, 2 * a.k * b.k / (a.k + b.k) AS g FROM k a JOIN k b ON (b.y = a.y AND abs(b.x - a.x) = 1) OR (b.x = a.x AND abs(b.y - a.y) = 1)) SELECT 0::BIGINT AS site, y, x, round(sum(g), 6) AS diagonal, round(sum(CASE WHEN ox = 0 THEN g ELSE 0 END), 6) + 0.0 AS rhs FROM e WHERE x BETWEEN 1 AND 62 GROUP BY 2, 3")
 def fv_diag_rhs(spark, sf_dir):
     k = _full(spark, sf_dir).withColumn("k", transport.conductivity(F.col("fraction"), 1000.0, "open_space")).select("site", "y", "x", "k")
-    return transport.assembled(k, 64)
+    return transport.assembled(k)
 
 
 @query()
@@ -325,7 +325,7 @@ def bh_fdr(spark, sf_dir):
  SELECT feature, n1, n2, (r1 - n1 * (n1 + 1) / 2)::DOUBLE AS u, median_a, median_b, median_a - median_b AS difference, round(greatest(abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2.0) - 0.5, 0) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS deviate FROM s JOIN t USING (feature)""")
 def mann_whitney_u(spark, sf_dir):
     x = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("site"), F.col("o_orderpriority").alias("feature"), F.when(F.col("o_orderstatus") == "F", "f").otherwise("o").alias("grp"), F.round("o_totalprice", -3).alias("value"))
-    return stats.mann_whitney(x, "grp", "f", "o")
+    return stats.mann_whitney(x, "grp", "f", "o").drop("p")
 
 
 @query("""WITH c AS (SELECT c_mktsegment AS a, c_nationkey % 5 AS b, count(*)::DOUBLE AS n FROM customer GROUP BY 1, 2), k AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS both_, (SELECT sum(n) FROM c) AS t, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM c GROUP BY a)) AS sa, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM c GROUP BY b)) AS sb)
@@ -398,38 +398,38 @@ def events_dedup_incremental(spark, sf_dir):
     return e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
 
 
+def _space(spark, sf_dir):
+    """Sites, standardized features, explained shares and the scores of the retained components."""
+    names, m = stats.matrix_of(stats.standardized(customer_features(spark, sf_dir)), ["orders", "price", "customers", "balance", "top_balance"])
+    scores, shares, _ = stats.pca_full(m)
+    return names, m, shares, scores[:, : stats.retained(shares)]
+
+
 @query()
 def pca_explained(spark, sf_dir):
-    wide = stats.standardized(customer_features(spark, sf_dir)).groupBy("site").pivot("feature", ["orders", "price", "customers", "balance", "top_balance"]).agg(F.first("z")).orderBy("site")
-    m = wide.toPandas().drop(columns="site").fillna(0.0).to_numpy()  # a row for each site
-    _, share = stats.pca(m)
-    total = 0.0
-    rows = []
-    for i, s in enumerate(share.tolist()):
-        total += s
-        rows.append((i + 1, s, total))
-    return spark.createDataFrame(rows, "component long, explained double, cumulative double")
+    return stats.component_table(spark, _space(spark, sf_dir)[2])
 
 
 @query()
 def ward_clusters(spark, sf_dir):
-    wide = stats.standardized(customer_features(spark, sf_dir)).groupBy("site").pivot("feature", ["orders", "price", "customers", "balance", "top_balance"]).agg(F.first("z")).orderBy("site").toPandas()
-    m = wide.drop(columns="site").fillna(0.0).to_numpy()
-    labels = stats.ward(m, 3)
-    return spark.createDataFrame(list(zip(wide["site"].tolist(), labels.tolist(), strict=True)), "site long, cluster long")
+    names, _, _, space = _space(spark, sf_dir)
+    return spark.createDataFrame(list(zip(names, map(int, stats.ward(space, 3)), strict=True)), "site long, cluster long")
+
+
+@query()
+def ward_merges(spark, sf_dir):
+    return spark.createDataFrame([(i + 1, *m) for i, m in enumerate(stats.ward_merges(_space(spark, sf_dir)[3]))], "step long, left long, right long, height double, size long")
 
 
 @query()
 def cluster_stability(spark, sf_dir):
-    wide = stats.standardized(customer_features(spark, sf_dir)).groupBy("site").pivot("feature", ["orders", "price", "customers", "balance", "top_balance"]).agg(F.first("z")).orderBy("site").toPandas()
-    m = wide.drop(columns="site").fillna(0.0).to_numpy()
-    return stats.cluster_stability(spark, m, stats.ward(m, 3), 3).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.avg("ari").alias("mean"), F.median("ari").alias("median"), F.min("ari").alias("least"), F.max("ari").alias("most"))
+    _, m, _, space = _space(spark, sf_dir)
+    return stats.stability_summary(stats.cluster_stability(spark, m, stats.ward(space, 3), 3))
 
 
 @query()
 def cluster_count(spark, sf_dir):
-    wide = stats.standardized(customer_features(spark, sf_dir)).groupBy("site").pivot("feature", ["orders", "price", "customers", "balance", "top_balance"]).agg(F.first("z")).orderBy("site").toPandas()
-    return stats.cluster_count(spark, wide.drop(columns="site").fillna(0.0).to_numpy())
+    return stats.cluster_count(spark, _space(spark, sf_dir)[3])
 
 
 @query("""WITH p AS (SELECT c_custkey, (c_custkey * 37 % 3600) / 10.0::DOUBLE - 180 AS lon, (c_custkey * 53 % 1600) / 10.0::DOUBLE - 80 AS lat FROM customer),
