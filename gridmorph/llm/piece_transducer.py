@@ -2,8 +2,8 @@
 
 The transducer is the composition of machines compiled from the model: the
 normaliser (a mark for each space and one in front of the text), the pieces
-(one path per piece, its cost the negated score; their union is one automaton
-with failure arcs), byte fallback (one path per UTF-8 byte, dearer than any
+(one path per piece, its cost the negated score; their union shares prefixes),
+byte fallback (one path per UTF-8 byte, dearer than any
 piece) and, for a BPE model, the merge order (one state per piece; piece v after
 piece u costs 0 if merging the characters of uv ends in u, v, and is infinite
 otherwise). Composed with a text it becomes a lattice: its positions, the pieces
@@ -20,9 +20,10 @@ this holds for every prefix too. A position therefore keeps one state, and the
 first finite arc found is the least. Merge-order arcs are compiled when first
 met.
 
-The lattice falls apart where no piece crosses: in front of a run of marks, if
-no piece holds a mark after another character. Such parts are solved once per
-worker, and parts shared by many texts reuse the path.
+The lattice falls apart where no piece crosses: around characters that no piece
+holds, and in front of a run of marks, if no piece holds a mark after another
+character. Such parts are solved once per worker, and parts shared by many texts
+reuse the path.
 
 Defined cases: null and empty texts have no pieces; a very long text is solved
 part by part and held whole; a mark character in a text cannot be told from a
@@ -37,6 +38,7 @@ import hashlib
 import re
 import struct
 import zlib
+from collections import defaultdict
 from functools import lru_cache
 from pathlib import Path
 
@@ -48,7 +50,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Solved parts of each of two generations; the older goes when the younger is full.
-PARTS_KEPT = 300_000
+PARTS_KEPT = 600_000
 #: Merge-order arcs a worker keeps; beyond it they are compiled anew, so it bounds memory only.
 ARCS_KEPT = 500_000
 #: State in front of a part and after a character that becomes bytes; all pieces come below.
@@ -60,7 +62,6 @@ SCHEMA = "doc_id long, n_bytes long, n_pieces long, n_fallback long, cost double
 
 class PieceTransducer:
     def __init__(self, model: bytes):
-        import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -70,7 +71,7 @@ class PieceTransducer:
             raise ValueError("this normaliser is not compiled here: only the identity with escaped spaces is")
         self.prefix = spec.add_dummy_prefix
         #: Arcs of the normaliser's one inner state that change a character; its first state writes the mark in front.
-        self.normaliser = {ord(" "): MARK}
+        self.normaliser = [(" ", MARK)]
         self.merging = proto.trainer_spec.model_type == pb.TrainerSpec.BPE
         if not self.merging and proto.trainer_spec.model_type != pb.TrainerSpec.UNIGRAM:
             raise ValueError("only BPE and unigram models are compiled here")
@@ -83,12 +84,14 @@ class PieceTransducer:
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == kind.NORMAL}
         if self.merging and any(c not in self.ids for p in self.ids for c in p):
             raise ValueError("BPE models with characters that occur in longer pieces only are not compiled here")
-        self.arcs: dict[int, bool] = {}
+        self.arcs: dict[int, dict[int, bool]] = defaultdict(dict)
+        self.n_arcs = 0
         self.byte_ids = [0] * 256
         self.bytes_of = {}
-        self.sizes: dict[int, int] = {}
+        self.sizes = [0] * len(kinds)
         self.costs = np.zeros(len(kinds))
-        machine = ahocorasick.Automaton()
+        #: The pieces' machine: from each state the piece that ends there (or -1) and its arcs by character.
+        self.trie: dict = {}
         worst = max((-p.score for p in proto.pieces if p.score > SENTINEL), default=0.0)
         for i, p in enumerate(proto.pieces):
             if p.type == kind.BYTE:
@@ -96,22 +99,33 @@ class PieceTransducer:
                 self.byte_ids[b] = i
                 self.bytes_of[i] = b
             elif p.type in (kind.NORMAL, kind.USER_DEFINED):
-                machine.add_word(p.piece, (len(p.piece), min(-p.score, worst + 5.0), i))
+                self.compile_piece(p.piece, i)
                 self.sizes[i], self.costs[i] = len(p.piece), min(-p.score, worst + 5.0)
-        machine.make_automaton()
-        self.machine, self.byte_cost = machine, worst + 10.0
+        self.byte_cost = worst + 10.0
         if len(self.bytes_of) < 256:
             raise ValueError("models without byte fallback are not compiled here")
         self.is_byte = np.zeros(len(kinds), bool)
         self.is_byte[self.byte_ids] = True
         self.costs[self.byte_ids] = self.byte_cost
         self.apart = not any(MARK in p.lstrip(MARK) for p, k in zip(self.pieces, kinds, strict=True) if k in (kind.NORMAL, kind.USER_DEFINED))
+        # characters that no piece holds become bytes, whatever stands beside them
+        letters = "".join(re.escape(c) for c in sorted({c for p in self.ids for c in p} - {MARK}))
+        runs = f"{MARK}+[{letters}]*|[{letters}]+" if self.apart and letters else f"[{MARK}{letters}]+"
+        self.cut = re.compile(f"{runs}|[^{MARK}{letters}]+").findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def compile_piece(self, piece: str, i: int) -> None:
+        inner = self.trie
+        for c in piece[:-1]:
+            inner = inner.setdefault(c, (-1, {}))[1]
+        inner[piece[-1]] = (i, inner.get(piece[-1], (-1, {}))[1])
+
     def normalise(self, text: str) -> str:
         """The one path of the text through the normaliser."""
-        return (MARK if self.prefix and text else "") + text.translate(self.normaliser)
+        for char, mark in self.normaliser:
+            text = text.replace(char, mark)
+        return (MARK if self.prefix and text else "") + text
 
     def merge(self, text: str) -> list[str]:
         """The characters of a short text after all merges: the best score first, of equal ones the leftmost."""
@@ -125,54 +139,62 @@ class PieceTransducer:
 
     def follows(self, before: int, piece: int) -> bool:
         """Whether the merge order has a finite arc from one state to a piece; kept for later texts."""
-        if len(self.arcs) > ARCS_KEPT:
-            self.arcs.clear()
+        self.n_arcs += 1
+        if self.n_arcs > ARCS_KEPT:
+            for order in self.arcs.values():
+                order.clear()
+            self.n_arcs = 0
         v = self.pieces[piece]
         u = [] if before == START else [self.pieces[before]]
-        known = self.arcs[before << 21 | piece] = self.merge("".join(u) + v) == [*u, v]
+        known = self.arcs[before][piece] = self.merge("".join(u) + v) == [*u, v]
         return known
 
     def states(self, part: str) -> list[int]:
         """The last piece of the shortest path to each position of the part's lattice, -1 for bytes.
 
-        Arcs are the pieces that end at a position, longest first, so that the longest wins a tie, and the bytes of
-        the character there. An arc adds its piece's cost or, under a merge order, that order's cost after the state
-        it leaves: 0 or infinite.
+        Positions are settled from the left, each relaxing the arcs that leave it: the pieces that start there. An arc
+        adds its piece's cost or, under a merge order, that order's cost after the state it leaves: 0 or infinite.
+        Arcs from further left, which are longer, come first and win a tie.
         """
-        ends: list[list] = [[] for _ in part]
-        for end, arc in self.machine.iter(part):
-            ends[end].append(arc)
-        return self.merge_states(ends) if self.merging else self.cheapest_states(part, ends)
-
-    def merge_states(self, ends: list[list]) -> list[int]:
-        """With the merge order a position's paths cost 0 or are infinite, and one costs 0: the first found is the shortest."""
-        order, follows = self.arcs.get, self.follows
-        last = [START]
-        for end, arcs in enumerate(ends, 1):
-            state = -1  # no piece ends here at a finite cost: the character becomes bytes
-            arcs.sort(reverse=True)
-            for length, _, piece in arcs:
-                before = last[end - length]
-                if before < 0:
-                    before = START
-                fits = order(before << 21 | piece)
-                if follows(before, piece) if fits is None else fits:
-                    state = piece
+        return self.merge_states(part) if self.merging else self.cheapest_states(part)
+
+    def merge_states(self, part: str) -> list[int]:
+        """With the merge order a position's paths cost 0 or are infinite, and one costs 0: once found it is the shortest."""
+        orders, follows, n, trie = self.arcs, self.follows, len(part), self.trie
+        last = [START] + [-1] * n
+        for at in range(n):
+            before = last[at]
+            if before < 0:  # no piece ends here at a finite cost: the character became bytes
+                before = START
+            order = orders[before]
+            inner = trie
+            for end in range(at, n):
+                node = inner.get(part[end])
+                if node is None:
                     break
-            last.append(state)
+                piece, inner = node
+                if piece >= 0 and last[end + 1] < 0:
+                    fits = order.get(piece)
+                    if follows(before, piece) if fits is None else fits:
+                        last[end + 1] = piece
         return last
 
-    def cheapest_states(self, part: str, ends: list[list]) -> list[int]:
-        best = [0.0] + [float("inf")] * len(part)
-        last = [START] + [-1] * len(part)
-        for end, arcs in enumerate(ends):
-            for length, cost, piece in sorted(arcs, reverse=True):
-                if best[end + 1 - length] + cost < best[end + 1]:
-                    best[end + 1], last[end + 1] = best[end + 1 - length] + cost, piece
-            if self.byte_cost + best[end] < best[end + 1]:
-                total = best[end] + self.byte_cost * len(part[end].encode())
-                if total < best[end + 1]:
-                    best[end + 1], last[end + 1] = total, -1
+    def cheapest_states(self, part: str) -> list[int]:
+        n, costs = len(part), self.costs
+        best = [0.0] + [float("inf")] * n
+        last = [START] + [-1] * n
+        for at in range(n):
+            inner, own = self.trie, best[at]
+            for end in range(at, n):
+                node = inner.get(part[end])
+                if node is None:
+                    break
+                piece, inner = node
+                if piece >= 0 and own + costs[piece] < best[end + 1]:
+                    best[end + 1], last[end + 1] = own + costs[piece], piece
+            total = own + self.byte_cost * len(part[at].encode())
+            if total < best[at + 1]:
+                best[at + 1], last[at + 1] = total, -1
         return last
 
     def path(self, part: str) -> list[int]:
@@ -183,10 +205,9 @@ class PieceTransducer:
         at = len(part)
         while at:
             piece = last[at]
-            length = sizes.get(piece)
-            if length:
+            if piece >= 0:
                 ids.append(piece)
-                at -= length
+                at -= sizes[piece]
             else:
                 at -= 1
                 ids.extend([self.byte_ids[b] for b in reversed(part[at].encode())])
@@ -194,9 +215,8 @@ class PieceTransducer:
         return ids
 
     def parts(self, text: str) -> list[str]:
-        if not self.apart:
-            return [text] if text else []
-        return re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", text)
+        """The normalised text cut where no piece crosses."""
+        return self.cut(text)
 
     def encode_packed(self, text: str) -> tuple[bytes, int, float, int]:
         """Ids as little-endian uint32, their number, cost and fallback bytes."""
