@@ -112,7 +112,8 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str, over: int =
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("content"), text.alias("text"))
     narrow = stored(keyed.drop("text"))
-    misses = keyed.select("content", "text").join(known, "content", "left_anti").groupBy("content").agg(F.any_value("text").alias("text"))
+    # copies are joined where they are read, before the cache is asked
+    misses = keyed.groupBy("content").agg(F.any_value("text").alias("text")).join(known, "content", "left_anti")
 
     def encode(batches):
         counter = PieceCounter(model)
