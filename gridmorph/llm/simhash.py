@@ -16,7 +16,8 @@ labelled by rounds of least labels and pointer jumps over stored tables.
 
 Words are runs outside 0x20 and 0x09-0x0D of the text with A-Z lower-cased;
 texts with fewer words than a shingle are one shingle. Defined cases: null and
-empty texts have fingerprint 0, which is linked like any other; a document
+empty texts have fingerprint 0, which is linked like any other; a very long text
+is hashed whole, shingle by shingle; a document
 whose class has no other link is its own component's smallest id; a null doc_id
 is never a component's id unless it has no other; rows that repeat a doc_id
 fall together only by their fingerprints; an empty table gives no rows; further
@@ -31,17 +32,20 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, sliced, stored, text_in
+from .common import buckets_for, sliced, stored
 
 BITS = 64
-CELL = 256
+CELL = 512
 #: For thresholds that need many probes; the rows of one value are then few beside all.
 WIDE_CELL = 2048
 #: Relative cost of one probe row (moved by Spark) and of one candidate (a comparison in numpy).
 PROBE_COST, CANDIDATE_COST = 1.0, 0.005
+#: Smaller inputs are searched by the plan for this many fingerprints.
+LEAST_PLANNED = 1 << 20
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -56,20 +60,17 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, keep_rows: bool = False) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long); with the whole rows as struct ``row`` if asked."""
-    first = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep_rows else F.col("text")
-    chosen = docs.select(first, F.col("doc_id").cast("long").alias("doc_id"))
-    skip = 0 if keep_rows else 1
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long)."""
+    chosen = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
 
     def run(batches):
         for b in batches:
             for part in sliced(b, 0):
-                fp = np.array([fingerprint(t or b"", words) for t in text_in(part.column(0)).cast(pa.binary()).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([*part.columns[skip:], pa.array(fp.view(np.int64))], [*part.schema.names[skip:], "fp"])
+                fp = np.array([fingerprint(t or b"", words) for t in part.column(0).cast(pa.binary()).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[skip:])
-    return chosen.mapInArrow(run, f"{fields}, fp long")
+    return chosen.mapInArrow(run, "doc_id long, fp long")
 
 
 # --- plan of the search ---------------------------------------------------------------
@@ -144,13 +145,14 @@ def search_plan(classes: DataFrame, most: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is probed."""
     n, together = bit_statistics(classes)
     p = np.diag(together) / max(n, 1)
+    planned = max(n, LEAST_PLANNED)
     found = None
     for parts in range(1, most + 2):
         dealt = partition_bits(n, together, parts)
         costs = []
         for part in dealt:
-            pairs = estimated_candidates(n, p, part, most)
-            costs.append([0.0, *[CANDIDATE_COST * pairs[t] + PROBE_COST * n * sum(comb(len(part), d) for d in range(t + 1)) for t in range(most + 1)]])
+            pairs = estimated_candidates(planned, p, part, most)
+            costs.append([0.0, *[CANDIDATE_COST * pairs[t] + PROBE_COST * planned * sum(comb(len(part), d) for d in range(t + 1)) for t in range(most + 1)]])
         cost, thresholds = allocate(costs, most)
         if found is None or cost < found[0]:
             found = (cost, [(b, t) for b, t in zip(dealt, thresholds, strict=True) if t >= 0])
@@ -165,24 +167,18 @@ def _signed(x: int) -> int:
 
 
 def probes(classes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """part, value, fp: every fingerprint under its own value of each partition and those within the threshold."""
-    out = []
+    """part, value, fp, own: every fingerprint under its own value of each partition and, not as its own, under those within the threshold."""
+    keys = []
     for k, (bits, threshold) in enumerate(plan):
         mask = sum(1 << b for b in bits)
         flips = [sum(1 << b for b in c) for d in range(threshold + 1) for c in combinations(bits, d)]
         value = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
-        flip = F.explode(F.array(*[F.lit(_signed(f)) for f in flips]))
-        out.append(F.struct(F.lit(k).alias("part"), value.alias("value")) if len(flips) == 1 else (k, value, flip))
-    plain = [x for x in out if isinstance(x, Column)]
-    rows = [classes.select("fp", F.explode(F.array(*plain)).alias("key")).select("key.part", "key.value", "fp")] if plain else []
-    for x in out:
-        if not isinstance(x, Column):
-            k, value, flip = x
-            rows.append(classes.select("fp", value.alias("own"), flip.alias("flip")).select(F.lit(k).alias("part"), F.col("own").bitwiseXOR(F.col("flip")).alias("value"), "fp"))
-    result = rows[0]
-    for r in rows[1:]:
-        result = result.unionByName(r)
-    return result
+        keys.append((k, value, F.array(*[F.lit(_signed(f)) for f in flips])))
+    rows = None
+    for k, value, flips in keys:
+        own = classes.select("fp", value.alias("at"), F.explode(flips).alias("flip")).select(F.lit(k).alias("part"), F.col("at").bitwiseXOR(F.col("flip")).alias("value"), "fp", (F.col("flip") == 0).alias("own"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
 
 
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -198,45 +194,52 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def forest(group: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (one to the root of each component) among rows of equal group, sorted by group."""
+def forest(group: np.ndarray, fp: np.ndarray, own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (one to the root of each component) among rows of equal group, sorted by group; one of the two is there under its own value."""
     n = len(fp)
-    begin = np.searchsorted(group, group, "left")
-    end = np.searchsorted(group, group, "right")
-    later = end - np.arange(n) - 1  # rows behind each in its group
-    done, links = 0, []
-    total = np.cumsum(later)
-    while done < n:
+    begin, end = np.searchsorted(group, group, "left"), np.searchsorted(group, group, "right")
+    first = np.flatnonzero(own)
+    total = np.cumsum(end[first] - begin[first])
+    done, links = 0, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    while done < len(first):
         stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + (1 << 19), "right")))
-        count = later[done:stop]
-        a = np.repeat(np.arange(done, stop), count)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
-        near = np.bitwise_count(fp[a] ^ fp[b]) <= most
+        at = first[done:stop]
+        count = end[at] - begin[at]
+        a = np.repeat(at, count)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count - begin[at], count)
+        near = (np.bitwise_count(fp[a] ^ fp[b]) <= most) & (a != b)
         links.append((a[near], b[near]))
         done = stop
     a, b = (np.concatenate(x) for x in zip(*links, strict=True))
-    del begin
     label = least_labels(n, a, b)
     child = np.flatnonzero(label != np.arange(n))
     return child, label[child]
 
 
+#: Values of all partitions together up to which their counts are sent to all tasks.
+FEW_VALUES = 1 << 17
+
+
 def links(classes: DataFrame, plan, most: int, size: int = CELL) -> DataFrame:
     """a, b: verified links between fingerprints whose components are those of all links."""
     rows = probes(classes, plan)
     sizes = rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if sum(1 << len(bits) for bits, _ in plan) <= FEW_VALUES:  # a row for each value at most
+        sizes = F.broadcast(sizes)
     k = F.ceil(F.col("n") / size).cast("int")
     met = rows.join(sizes, ["part", "value"]).withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
-    cells = met.select("part", "value", "fp", "c", other).select(F.xxhash64("part", "value", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "fp")
-    buckets = buckets_for(classes.sparkSession)
+    cells = met.select("part", "value", "fp", "own", "c", other).select(F.xxhash64("part", "value", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "fp", "own")
+    # whole cells are dealt to as many buckets as their rows ask for
+    n_rows = classes.count() * sum(comb(len(bits), d) for bits, t in plan for d in range(t + 1))
+    buckets = buckets_for(classes.sparkSession, int(n_rows // 100_000))
     dealt = cells.withColumn("bucket", F.pmod("cell", F.lit(buckets)).cast("int"))
 
     def verify(table: pa.Table) -> pa.Table:
-        cell, fp = table.column("cell").to_numpy(), table.column("fp").to_numpy()
+        cell, fp, own = (table.column(c).to_numpy() for c in ("cell", "fp", "own"))
         order = np.lexsort((fp, cell))
-        cell, fp = cell[order], fp[order]
-        a, b = forest(cell, fp.view(np.uint64), most)
+        cell, fp, own = cell[order], fp[order], own[order].astype(bool)
+        a, b = forest(cell, fp.view(np.uint64), own, most)
         return pa.table({"a": fp[a], "b": fp[b]})
 
     return dealt.groupBy("bucket").applyInArrow(verify, "a long, b long").distinct()
@@ -263,11 +266,13 @@ def near_components(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame
     prints = stored(fingerprints(docs, words))
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size")))
     labels = component_labels(links(classes, search_plan(classes, most), most))
-    rooted = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    rooted = stored(classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     least = rooted.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "label").select("fp", "component_id", "class_size")
+    total = prints.count()
+    sizes = rooted.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    named = joined_evenly(rooted, least, "label", sizes, total).select("fp", "component_id", "class_size")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(named, "fp").select("doc_id", text.alias("fingerprint"), "component_id", "class_size")
+    return joined_evenly(prints, named, "fp", classes.select("fp", F.col("class_size").alias("n")), total).select("doc_id", text.alias("fingerprint"), "component_id", "class_size")
 
 
 # --- dedup ------------------------------------------------------------------------------
@@ -285,6 +290,45 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+#: Rows that a join sends to all tasks at most; beyond it the rows are moved instead.
+MOST_SENT = 4_000_000
+#: A key is popular if it has more than this part of all rows.
+HOT_SHARE = 10_000
+
+
+def row_ids(docs: DataFrame) -> DataFrame:
+    """uid, row (a struct of all columns): a number for each row that does not depend on how often or where the rows are read.
+
+    It is made of the row's file and place; rows that do not come from files are stored first.
+    """
+    def located(df):
+        whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+        return df.select(whole, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+
+    try:
+        rows = located(docs)
+        rows.schema  # noqa: B018  analysed here
+    except AnalysisException:
+        rows = located(stored(docs))
+    files = stored(rows.select("file").distinct().withColumn("number", F.row_number().over(Window.orderBy("file")).cast("long")))  # a row for each file
+    return rows.join(F.broadcast(files), "file").select((F.shiftleft("number", 36) + F.col("place")).alias("uid"), "row")
+
+
+def joined_evenly(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
+    """rows joined to table(key, ...), which has each key once; counts(key, n) tells how many rows a key has.
+
+    Keys of more than one row in HOT_SHARE are fewer than that, so their part of the table is sent to all tasks.
+    """
+    hot = stored(counts.where(F.col("n") > total / HOT_SHARE).select(key).join(table, key))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def without(rows: DataFrame, gone: DataFrame, n: int, how: str = "left_anti") -> DataFrame:
+    """rows whose uid is not (left_semi: is) among the n of gone: these are sent to all tasks if they are few enough, else both sides move."""
+    return rows.join(F.broadcast(gone) if n <= MOST_SENT else gone.hint("merge"), "uid", how)
+
+
 def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_words: int = 3, most: int = 11) -> DataFrame:
     """The documents without near copies, with their own columns: of each group one stays.
 
@@ -296,40 +340,59 @@ def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_word
     pairs by their shingle sets, whatever their bits; of each component of
     similar ones, which may run through documents that go, the smallest id
     stays. So every document that goes is linked to one that stays.
+
+    Defined cases: null and empty texts are one group, of which one stays; texts
+    with fewer words than a shingle are one shingle; a very long text is one
+    set; a null id stays only where no other does; of rows that repeat an id
+    and are similar one stays; an empty table gives no rows.
     """
-    uid = F.monotonically_increasing_id()
-    rows = stored(fingerprints(docs, print_words, keep_rows=True).withColumn("uid", uid))
-    prints = rows.select("uid", "doc_id", "fp")
-    classes = stored(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
+    numbered = row_ids(docs)
+
+    def measure(batches):
+        for b in batches:
+            for part in sliced(b, 2):
+                fp = np.array([fingerprint(t or b"", print_words) for t in part.column(2).cast(pa.binary()).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp.view(np.int64))], ["uid", "doc_id", "fp"])
+
+    chosen = numbered.select("uid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
+    prints = stored(chosen.mapInArrow(measure, "uid long, doc_id long, fp long"))
+    total = prints.count()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid"))
+    classes = stored(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), first.alias("first")))
     labels = component_labels(links(classes, search_plan(classes, most), most, WIDE_CELL))
-    rooted = prints.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid"))["uid"]
-    leaders = rooted.groupBy("label").agg(first.alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(rooted.join(leaders, "label").select("uid", "doc_id", "leader"))
+    rooted = stored(classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    groups = stored(rooted.groupBy("label").agg(F.min("first")["uid"].alias("leader"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("n > 1"))
+    led = joined_evenly(rooted.select("fp", "label"), groups.select("label", "leader", F.col("n").alias("size")), "label", groups.select("label", F.col("classes").alias("n")), total).select("fp", "leader", "size")
+    members = stored(joined_evenly(prints, led, "fp", classes.select("fp", "n"), total).select("uid", "doc_id", "leader", "size"))
+    n_members = members.count()
 
     def sets(batches):
         for b in batches:
-            for part in sliced(b, 2):
-                packed = [shingles(t or b"", words).tobytes() for t in part.column(2).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["uid", "leader", "grams"])
+            for part in sliced(b, 1):
+                packed = [shingles(t or b"", words).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["uid", "grams"])
 
-    texts = rows.select("uid", F.col("row.text").alias("text")).join(members.select("uid", "leader").hint("merge"), "uid")
-    grams = stored(texts.select("uid", "leader", "text").mapInArrow(sets, "uid long, leader long, grams binary"))
+    texts = without(numbered.select("uid", F.col("row.text").alias("text")), members.select("uid"), n_members, "left_semi")
+    grams = stored(texts.mapInArrow(sets, "uid long, grams binary").join(members.select("uid", "leader", "size"), "uid"))
 
     def compare(batches):
         for b in batches:
             close = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(close, pa.bool_())], ["uid", "close"])
 
-    heads = grams.where("uid = leader").select("leader", F.col("grams").alias("own"))
-    verdicts = stored(grams.where("uid <> leader").join(heads, "leader").select("uid", "grams", "own").mapInArrow(compare, "uid long, close boolean"))
+    # a leader's set goes to each share of its group
+    shares = F.ceil(F.col("size") / CELL)
+    heads = grams.where("uid = leader").select("leader", F.col("grams").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
+    others = grams.where("uid <> leader").withColumn("share", F.pmod(F.xxhash64("uid"), shares))
+    verdicts = stored(others.join(heads, ["leader", "share"]).select("uid", "grams", "own").mapInArrow(compare, "uid long, close boolean"))
     # a document linked to its leader stands for it: one node with the leader
     node = F.when(F.col("close"), F.col("leader")).otherwise(F.col("uid"))
     nodes = stored(members.join(verdicts, "uid").select("uid", "leader", "close", node.alias("node")))
     sizes = nodes.groupBy("leader").agg(F.count_if(~F.col("close")).alias("far"), F.count_if("close").alias("near")).where("far > 0 and far + near > 1")
     # chunks 0..kf-1 hold the documents apart from their leader, kf..kf+kn-1 the others, which meet the former only
     kf, kn = (F.ceil(F.col(x) / CELL).cast("int") for x in ("far", "near"))
-    dealt = nodes.join(sizes, "leader").withColumn("kf", kf).withColumn("kn", kn).withColumn("c", F.when(F.col("close"), F.col("kf") + F.pmod(F.xxhash64("uid"), "kn")).otherwise(F.pmod(F.xxhash64("uid"), "kf")).cast("int"))
+    dealt = joined_evenly(nodes, sizes, "leader", sizes.select("leader", (F.col("far") + F.col("near")).alias("n")), total)
+    dealt = dealt.withColumn("kf", kf).withColumn("kn", kn).withColumn("c", F.when(F.col("close"), F.col("kf") + F.pmod(F.xxhash64("uid"), "kn")).otherwise(F.pmod(F.xxhash64("uid"), "kf")).cast("int"))
     last = F.when(F.col("close"), F.col("kf") - 1).otherwise(F.col("kf") + F.col("kn") - 1)
     spread = dealt.select("uid", "node", "leader", "c", F.explode(F.sequence(F.lit(0), last)).alias("o"))
     cells = spread.select("uid", "node", "c", F.xxhash64("leader", F.least("c", "o"), F.greatest("c", "o")).alias("cell"))
@@ -361,8 +424,7 @@ def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_word
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     similar = cells.join(grams.select("uid", "grams"), "uid").groupBy("cell").applyInArrow(pairs, "a long, b long").distinct()
-    groups = component_labels(similar).withColumnRenamed("node", "uid").join(members.select("uid", "doc_id"), "uid")
-    stay = groups.groupBy("label").agg(first.alias("stay"))
-    copies = verdicts.where("close").select("uid").unionByName(groups.join(stay, "label").where("uid <> stay").select("uid"))
-    # both joins move the rows at every size: what they join grows with the corpus
-    return rows.join(copies.hint("merge"), "uid", "left_anti").select("row.*")
+    linked = component_labels(similar).withColumnRenamed("node", "uid").join(members.select("uid", "doc_id"), "uid")
+    stay = linked.groupBy("label").agg(first["uid"].alias("stay"))
+    copies = stored(verdicts.where("close").select("uid").unionByName(linked.join(stay, "label").where("uid <> stay").select("uid")))
+    return without(numbered, copies, copies.count()).select("row.*")
