@@ -1,22 +1,24 @@
 """Quality rules with host-level verdicts.
 
-Each text gets word and line signals and the base rules' verdict. Failures are
-aggregated by host (the ``source`` column), host rates are shrunk towards an
-empirical beta prior fitted to all hosts by moments, and a host whose shrunk
-failure rate reaches ``reject`` takes its other documents down with it. Verdicts
-are joined back to the documents.
+Each text gets word and line signals, the base rules' verdict and the failures
+of further rules that judge hosts only. Every rule's failures are aggregated by
+host (the ``source`` column), a host's rate of a rule is shrunk towards an
+empirical beta prior fitted to that rule's rates of all hosts by moments, and a
+host whose shrunk rate of any rule reaches ``reject`` takes its documents down
+with it. Verdicts are joined back to the documents.
 
 Words are runs outside 0x20 and 0x09-0x0D. Defined cases: null and empty texts
-have no words and fail; a null source is a host of its own; repeated rows count
-each; an empty table gives no rows; further columns pass through
-``with_verdicts`` whatever their names.
+have no words and fail; a very long text is measured whole, in a block of its
+own; a null source is a host of its own; a null doc_id is kept; repeated rows
+count each; a rate that equals ``reject`` rejects; an empty table gives no rows;
+further columns pass through ``with_verdicts`` whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASES, Rolling, is_space, mix64, sliced, stored, text_in, utf8, word_hashes, words_of
@@ -89,25 +91,38 @@ def signals(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[skip:])
     out = chosen.mapInArrow(measure, f"{fields}, {SIGNALS}")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+    return out.withColumn("base_failed", rules()["short"] | rules()["repeats"])
+
+
+def rules() -> dict[str, Column]:
+    """What each rule fails on: the two base rules, and those that judge hosts only."""
+    words, per_word = F.col("n_words"), F.col("n_words") > 0
+    return {
+        "short": words < 10,
+        "repeats": 100 * F.col("n_repeat_words") > 20 * words,
+        "symbols": per_word & (10 * F.col("n_symbols") > words),
+        "word_length": per_word & ((F.col("word_chars") < 3 * words) | (F.col("word_chars") > 10 * words)),
+        "duplicate_lines": per_word & (10 * F.col("n_dup_lines") > words),
+    }
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
-    """host, n, failed and the failure rate shrunk by the beta prior of all hosts."""
-    hosts = measured.groupBy(F.col("source").alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    """host, rule, n, failed and the failure rate shrunk by the beta prior of that rule over all hosts."""
+    own = measured.groupBy(F.col("source").alias("host")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in rules().items()])
+    hosts = own.select("host", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("failed")) for k in rules()])).alias("r")).select("host", "n", "r.rule", "r.failed")
     rate = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(rate).alias("mean"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("var"))
+    prior = hosts.groupBy("rule").agg(F.avg(rate).alias("mean"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("var"))
     # moments of a beta distribution; its strength is held to 1 .. 1000 documents
     spread = F.col("mean") * (1 - F.col("mean"))
     strength = F.least(F.greatest(F.try_divide(spread, F.col("var")) - 1, F.lit(1.0)), F.lit(1000.0))
-    prior = prior.select("mean", F.coalesce(strength, F.lit(1000.0)).alias("strength"))
+    prior = prior.select("rule", "mean", F.coalesce(strength, F.lit(1000.0)).alias("strength"))
     shrunk = (F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    return hosts.join(F.broadcast(prior)).select("host", "n", "failed", shrunk.alias("host_rate"))  # prior: one row
+    return hosts.join(F.broadcast(prior), "rule").select("host", "rule", "n", "failed", shrunk.alias("rate"))  # prior: a row for each rule
 
 
 def with_verdicts(docs: DataFrame, reject: float = 0.5, keep_rows: bool = False) -> DataFrame:
-    """signals() with host_rate and ``kept``: neither the base rules nor the host's verdict reject the document."""
+    """signals() with host_rate (the host's greatest) and ``kept``: neither the base rules nor the host's verdict reject the document."""
     measured = stored(signals(docs, keep_rows))
-    joined = measured.join(stored(host_rates(measured)), F.col("source").eqNullSafe(F.col("host")))
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") < reject)).drop("host", "n", "failed")
+    verdicts = stored(host_rates(measured).groupBy("host").agg(F.max("rate").alias("host_rate")))
+    joined = measured.join(verdicts, F.col("source").eqNullSafe(F.col("host")))
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") < reject)).drop("host")

@@ -132,10 +132,12 @@ lines AS (SELECT doc_id, source, words, t, [x for x in string_split(t, chr(10))
 base AS (SELECT doc_id, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM lines LEFT JOIN repeated USING (doc_id)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
-hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM judged GROUP BY source),
-moments AS (SELECT avg(failed / n) AS mean, var_pop(failed / n) AS var FROM hosts),
-prior AS (SELECT mean, least(greatest(mean * (1 - mean) / nullif(var, 0) - 1, 1.0::DOUBLE), 1000.0::DOUBLE) AS strength FROM moments),
-rates AS (SELECT source, (failed + mean * strength) / (n + strength) AS rate FROM hosts, prior)
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (n_words < 10) AS short, count(*) FILTER (100 * n_repeat_words > 20 * n_words) AS repeats, count(*) FILTER (n_words > 0 AND 10 * n_symbols > n_words) AS symbols,
+  count(*) FILTER (n_words > 0 AND (word_chars < 3 * n_words OR word_chars > 10 * n_words)) AS word_length, count(*) FILTER (n_words > 0 AND 10 * n_dup_lines > n_words) AS duplicate_lines FROM judged GROUP BY source),
+long AS (SELECT source, n, rule, failed FROM hosts UNPIVOT (failed FOR rule IN (short, repeats, symbols, word_length, duplicate_lines))),
+moments AS (SELECT rule, avg(failed / n) AS mean, var_pop(failed / n) AS var FROM long GROUP BY rule),
+prior AS (SELECT rule, mean, least(greatest(mean * (1 - mean) / nullif(var, 0) - 1, 1.0::DOUBLE), 1000.0::DOUBLE) AS strength FROM moments),
+rates AS (SELECT source, max((failed + mean * coalesce(strength, 1000)) / (n + coalesce(strength, 1000))) AS rate FROM long JOIN prior USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate < 0.5 AS kept, round(rate, 6) AS host_rate
 FROM judged JOIN rates ON judged.source IS NOT DISTINCT FROM rates.source
 """,
