@@ -11,7 +11,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmorph.llm.common import Tables, read_table, stored
+from gridmorph.llm.common import Tables, bound_batches, read_table, stored
 from gridmorph.llm.host_rules import with_verdicts
 from gridmorph.llm.piece_transducer import encoded
 from gridmorph.llm.queries import PIECES, tokenizer_path
@@ -29,6 +29,7 @@ def _stage(f):
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
         before = _MADE.pop((id(spark), sf_dir), None)
         if before and f.__name__ != STAGES[0][1].__name__:
             before.release(keep=docs)

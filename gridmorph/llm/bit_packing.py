@@ -42,7 +42,7 @@ from .common import BASES, BYTE_SYMBOLS, Rolling, covered_by, qualified, shared_
 MAGIC = b"GMBITS01"
 BLOCK_IDS = 1 << 16
 #: Units that one worker remembers before it starts afresh.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 300_000
 
 
 def bits_for(vocabulary: int) -> int:

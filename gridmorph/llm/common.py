@@ -8,6 +8,7 @@ their caller to run them with Arrow batches of some megabytes (BATCHES).
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -44,10 +45,15 @@ def bounded_batches(spark: SparkSession):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for a registered query. Queries hand lazy frames to their caller, so the session gets BATCHES for good here."""
+def bound_batches(spark: SparkSession) -> None:
+    """Sets BATCHES for the session: for applications, whose lazy results are run by others."""
     for k, v in BATCHES.items():
         spark.conf.set(k, v)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for a registered query. Queries hand lazy frames to their caller, so the session gets BATCHES for good here."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -135,15 +141,39 @@ def numbered(df: DataFrame, *order) -> DataFrame:
     return flat.join(F.broadcast(starts), "part_").withColumn("rank", F.col("start_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))).drop("part_", "at_", "start_")
 
 
-def worker_cache(key: str, make):
-    """make() once for each Python worker process and key: tasks of one worker share compiled models and memos."""
+def _held() -> dict:
     module = sys.modules.setdefault("gridmorph_worker_cache", types.ModuleType("gridmorph_worker_cache"))
-    held = module.__dict__.setdefault("held", {})
+    return module.__dict__.setdefault("held", {})
+
+
+def worker_cache(key: str, make):
+    """make() once for each Python worker process and key: tasks of one worker share compiled models and memos.
+
+    A worker keeps one of them at a time, besides tables of powers.
+    """
+    held = _held()
     if key not in held:
+        if key != POWERS:
+            forget_models()
         held[key] = make()
     return held[key]
 
 
+POWERS = "powers"
+
+
+def forget_models() -> None:
+    """Gives back what earlier tasks left in this worker process: other operators' models, and memory that the allocators hold."""
+    held = _held()
+    for key in set(held) - {POWERS}:
+        del held[key]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library: its allocator decides
+        pass
+
+
 # --- Arrow and numpy ------------------------------------------------------------------
 
 
@@ -215,7 +245,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def _powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n - 1) modulo 2**64, kept by the worker."""
-    held = worker_cache("powers", dict)
+    held = worker_cache(POWERS, dict)
     got = held.get(base)
     if got is None or len(got) < n:
         got = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Rolling, is_space, mix64, sliced, stored, text_in, utf8, word_hashes, words_of
+from .common import BASES, Rolling, forget_models, is_space, mix64, sliced, stored, text_in, utf8, word_hashes, words_of
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -85,6 +85,7 @@ def signals(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
     names = [x.split()[0] for x in SIGNALS.split(", ")]
 
     def measure(batches):
+        forget_models()
         for b in batches:
             for part in sliced(b, 0):
                 yield pa.RecordBatch.from_arrays([*part.columns[skip:], *map(pa.array, text_signals(text_in(part.column(0))))], [*part.schema.names[skip:], *names])

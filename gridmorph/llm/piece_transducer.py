@@ -39,7 +39,6 @@ import re
 import struct
 import zlib
 from collections import defaultdict
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -47,10 +46,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 
 MARK = "▁"
 #: Solved parts of each of two generations; the older goes when the younger is full.
-PARTS_KEPT = 600_000
+PARTS_KEPT = 300_000
 #: Merge-order arcs a worker keeps; beyond it they are compiled anew, so it bounds memory only.
 ARCS_KEPT = 500_000
 #: State in front of a part and after a character that becomes bytes; all pieces come below.
@@ -254,12 +255,6 @@ class PieceTransducer:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=1)
-def compiled(model: bytes) -> PieceTransducer:
-    """The model's transducer, with the parts and arcs that earlier tasks of this worker solved."""
-    return PieceTransducer(model)
-
-
 def encoded(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
     """A row for each document with the figures of its ids, which are decoded again and compared with the text.
 
@@ -267,9 +262,11 @@ def encoded(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFra
     """
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
     model = Path(model_path).read_bytes()
+    digest = hashlib.sha256(model).hexdigest()
 
     def run(batches):
-        fst = compiled(model)
+        # with the parts and arcs that earlier tasks of this worker solved
+        fst = worker_cache(f"pieces-{digest}", lambda: PieceTransducer(model))
         table = fst.decoder()
         for b in batches:
             for at in range(0, b.num_rows, 500):

@@ -1,6 +1,6 @@
 """Text shards and packed exchanges between them.
 
-A shard holds about a megabyte of whole texts. Shards are written once, as a
+A shard holds about half a megabyte of whole texts. Shards are written once, as a
 table bucketed by shard, so that answers can be joined to them again and again
 without moving the text.
 
@@ -21,9 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, bounded_batches, buckets_for, shared_dir, sliced, utf8
+from .common import bounded_batches, buckets_for, forget_models, shared_dir, sliced, utf8
 
 SHARD_SCHEMA = "shard long, doc_ids array<bigint>, ends array<bigint>, data binary, size long"
+#: Text that one shard holds, about; a longer text is a shard of its own.
+SHARD_BYTES = 1 << 19
+#: Rows that one shard holds, about: empty texts count too.
+BLOCK_ROWS = 1 << 16
 #: Packed bytes that one bucket gets, about.
 BUCKET_BYTES = 8 << 20
 
@@ -37,6 +41,7 @@ def text_shards(docs: DataFrame, carry: bool = False) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")] if carry else []
 
     def build(batches):
+        forget_models()
         n, ids, data, rest, held = 0, [], [], [], 0
 
         def flush():
@@ -59,10 +64,10 @@ def text_shards(docs: DataFrame, carry: bool = False) -> DataFrame:
 
         for b in batches:
             part = b.column(2)[0].as_py() if b.num_rows else 0
-            for piece in sliced(b, 1):
+            for piece in sliced(b, 1, SHARD_BYTES):
                 column = piece.column(1).cast(pa.large_binary()).fill_null(b"")
                 size = len(utf8(column)[0])
-                if ids and held + size > BLOCK_BYTES:
+                if ids and (held + size > SHARD_BYTES or sum(map(len, ids)) >= BLOCK_ROWS):
                     yield flush()
                     held = 0
                 ids.append(piece.column(0))
@@ -96,6 +101,7 @@ class Shard:
 
 
 def each_shard(batches):
+    forget_models()
     for b in batches:
         for i in range(b.num_rows):
             one = b.slice(i, 1)

@@ -36,7 +36,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, sliced, stored
+from .common import buckets_for, forget_models, sliced, stored
 
 BITS = 64
 CELL = 512
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     chosen = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
 
     def run(batches):
+        forget_models()
         for b in batches:
             for part in sliced(b, 0):
                 fp = np.array([fingerprint(t or b"", words) for t in part.column(0).cast(pa.binary()).to_pylist()], np.uint64)
@@ -349,6 +350,7 @@ def deduplicated(docs: DataFrame, words: int = 5, least: float = 0.8, print_word
     numbered = row_ids(docs)
 
     def measure(batches):
+        forget_models()
         for b in batches:
             for part in sliced(b, 2):
                 fp = np.array([fingerprint(t or b"", print_words) for t in part.column(2).cast(pa.binary()).to_pylist()], np.uint64)

@@ -56,6 +56,8 @@ from .shards import answered, bucket_count, cuts, each_shard, marks_of, sent, se
 GRAM = 24
 CROWD = 512
 LOCAL_CROWD = 16
+#: Symbols that a shard sorts at once, about.
+SORTED_AT_ONCE = 1 << 19
 #: Marks of the dictionary's answer.
 ALONE, LATER, CONTESTED, CROWDED = 0, 1, 2, 3
 
@@ -204,8 +206,8 @@ def _rarity(columns, lengths, shards) -> np.ndarray:
 def split_intervals(order: np.ndarray, new: np.ndarray) -> np.ndarray:
     """The first slot of each suffix's interval, from the order and the marks of slots that begin one."""
     slots = np.flatnonzero(new)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.repeat(slots, np.diff(np.append(slots, len(order))))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.repeat(slots.astype(np.int32), np.diff(np.append(slots, len(order))))
     return rank
 
 
@@ -218,7 +220,7 @@ def refine(rank: np.ndarray, ahead, step: int) -> np.ndarray | None:
     active = np.flatnonzero(size[rank] > 1)
     if not len(active):
         return None
-    pair = rank[active] * np.int64(len(rank)) + rank[ahead(active, step)]
+    pair = rank[active].astype(np.int64) * len(rank) + rank[ahead(active, step)]
     by = np.argsort(pair, kind="stable")
     pair, active = pair[by], active[by]
     own = rank[active]
@@ -265,6 +267,7 @@ def transform(data: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> np.ndar
     new[1:] = ~same
     rank = split_intervals(order, new)
     step = 8
+    del key, ended, same, new, order
     while refine(rank, lambda at, step: at + step, step) is not None:
         step *= 2
     out = np.empty(n, np.uint8)
@@ -319,18 +322,20 @@ class Merge:
         for _ in range(7):
             chain.append(self.powers[1][chain[-1]])
         key, ended = packed_prefixes(lambda k: self.symbol[chain[k]], self.n)
-        del chain
+        del chain, at
         order = np.argsort(key, kind="stable")  # runs that are sorted already, one for each transform
         key = key[order]
         new = np.ones(self.n, bool)
         new[1:] = (key[1:] != key[:-1]) | ended[order][1:]
         rank = split_intervals(order, new)
-        common = np.full(self.n, depth, np.int64)
+        del order, ended
+        common = np.full(self.n, depth, np.int32)
         slots = np.flatnonzero(new)
         own = key[slots].byteswap().view(np.uint8).reshape(-1, 8)
         differ = own != key[np.maximum(slots - 1, 0)].byteswap().view(np.uint8).reshape(-1, 8)
         common[slots] = np.where(differ.any(axis=1), differ.argmax(axis=1), (own > 0).sum(axis=1))  # equal, so ended: all symbols in front of the end
         common[:1] = 0
+        del key, new, own, differ
         reached = 8
         while reached < depth:
             step = min(reached, depth - reached)
@@ -451,17 +456,27 @@ def repeated_bytes(docs: DataFrame, width: int = 100, carry: bool = False) -> Da
             doc, start = p.order_of(first)
             sizes = last - first + width
             runs = cuts(key, n_merge)
-            group = np.repeat(np.arange(len(runs)), [b - a for _, a, b in runs])
-            bwt = transform(p.data[spread(first, sizes)], sizes, group)
-            ends = np.cumsum([int((sizes[a:b] + 1).sum()) for _, a, b in runs]).tolist()
+            ends = np.cumsum(sizes + 1)
+            bwts, done = [], 0
+            while done < len(runs):  # some buckets at a time: they are sorted together
+                before = ends[runs[done][1] - 1] if runs[done][1] else 0
+                stop = done + 1
+                while stop < len(runs) and ends[runs[stop][2] - 1] - before <= SORTED_AT_ONCE:
+                    stop += 1
+                a, b = runs[done][1], runs[stop - 1][2]
+                group = np.repeat(np.arange(stop - done), [y - x for _, x, y in runs[done:stop]])
+                bwt = transform(p.data[spread(first[a:b], sizes[a:b])], sizes[a:b], group)
+                cut = [0, *(ends[[y - 1 for _, _, y in runs[done:stop]]] - before).tolist()]
+                bwts += [bwt[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)]
+                done = stop
             sizes = sizes.astype(np.uint32)
-            columns = [[bwt[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)], *[[c[a:b].tobytes() for _, a, b in runs] for c in (sizes, doc, start)]]
+            columns = [bwts, *[[c[a:b].tobytes() for _, a, b in runs] for c in (sizes, doc, start)]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in runs], pa.int32()), pa.array([shard.id] * len(runs), pa.int64()), *[pa.array(c, pa.binary()) for c in columns]], ["bucket", "shard", "c0", "c1", "c2", "c3"])
 
     def merge(table: pa.Table) -> pa.Table:
         return _merge_bucket(table, width)
 
-    n_merge = bucket_count(shards, 2.0)
+    n_merge = bucket_count(shards, 4.0)
     merged = parsed.drop("rows").mapInArrow(contest, sent_schema(4)).groupBy("bucket").applyInArrow(merge, "shard long, bucket int, marks binary")
     merged = stored(merged.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "marks"))).alias("merged")))
 
