@@ -13,10 +13,29 @@ from pyspark.sql import functions as F
 MAD_SCALE = 0.67448975
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """df computed once: checkpointed where the session names a folder for it, else cached."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
+
+
+def ranked_values(long: DataFrame, *sums: Column) -> DataFrame:
+    """feature, value, peers, rank (the average rank of the value's rows within its feature), and further aggregates of each value's rows.
+
+    Values are dealt by range, so no task sees a whole feature: ranks run
+    within a range and start where the ranges before it end.
+    """
+    values = long.where("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("peers"), *sums)
+    ordered = materialised(values.repartitionByRange("feature", "value").withColumn("range_", F.spark_partition_id()))
+    totals = ordered.groupBy("feature", "range_").agg(F.sum("peers").alias("n_"))
+    before = totals.select("feature", "range_", (F.sum("n_").over(Window.partitionBy("feature").orderBy("range_")) - F.col("n_")).alias("before_"))  # a row for each range
+    upto = F.sum("peers").over(Window.partitionBy("feature", "range_").orderBy("value"))
+    out = ordered.withColumn("upto_", upto).join(F.broadcast(before), ["feature", "range_"])
+    return out.withColumn("rank", F.col("before_") + F.col("upto_") - (F.col("peers") - 1) / 2.0).drop("range_", "before_", "upto_")
+
+
 def average_ranks(long: DataFrame) -> DataFrame:
-    w = Window.partitionBy("feature").orderBy("value")
-    peers = F.count(F.lit(1)).over(Window.partitionBy("feature", "value"))
-    return long.where("value is not null").withColumn("rank", F.rank().over(w) + (peers - 1) / 2.0)
+    """The rows with their average rank within the feature; null values go."""
+    return long.join(ranked_values(long).select("feature", "value", "rank"), ["feature", "value"])
 
 
 def spearman(long: DataFrame) -> DataFrame:
@@ -30,11 +49,12 @@ def spearman(long: DataFrame) -> DataFrame:
 
 def robust_z(long: DataFrame) -> DataFrame:
     """z by median and MAD; by mean and population deviation where the MAD is 0; 0 where that is 0 too."""
-    w = Window.partitionBy("feature")
-    centred = long.where("value is not null").withColumn("med", F.median("value").over(w)).withColumn("dev", F.abs(F.col("value") - F.col("med")))
-    m = centred.withColumn("mad", F.median("dev").over(w)).withColumn("mean", F.avg("value").over(w)).withColumn("sd", F.stddev_pop("value").over(w))
-    z = F.when(F.col("mad") > 0, MAD_SCALE * (F.col("value") - F.col("med")) / F.col("mad")).when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd")).otherwise(0.0)
-    return m.select("site", "feature", "value", z.alias("z"))
+    known = long.where("value is not null")
+    middle = known.groupBy("feature").agg(F.median("value").alias("med"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    centred = known.join(F.broadcast(middle), "feature")  # a row for each feature
+    mad = centred.groupBy("feature").agg(F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
+    z = F.when(F.col("mad") > 0, MAD_SCALE * (F.col("value") - F.col("med")) / F.nullif(F.col("mad"), F.lit(0.0))).when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0))).otherwise(0.0)
+    return centred.join(F.broadcast(mad), "feature").select("site", "feature", "value", z.alias("z"))
 
 
 def outliers(long: DataFrame) -> DataFrame:
@@ -44,8 +64,11 @@ def outliers(long: DataFrame) -> DataFrame:
 
 
 def standardized(long: DataFrame) -> DataFrame:
-    w = Window.partitionBy("feature")
-    return long.where("value is not null").withColumn("z", F.when(F.stddev_pop("value").over(w) > 0, (F.col("value") - F.avg("value").over(w)) / F.stddev_pop("value").over(w)))
+    """The rows with z by their feature's mean and population deviation, null where that is 0; null values go."""
+    known = long.where("value is not null")
+    own = known.groupBy("feature").agg(F.avg("value").alias("mean_"), F.stddev_pop("value").alias("sd_"))
+    z = F.when(F.col("sd_") > 0, (F.col("value") - F.col("mean_")) / F.nullif(F.col("sd_"), F.lit(0.0)))
+    return known.join(F.broadcast(own), "feature").withColumn("z", z).drop("mean_", "sd_")  # a row for each feature
 
 
 def feature_quality(long: DataFrame, most_missing: float = 0.30) -> DataFrame:
@@ -121,17 +144,18 @@ def redundancy(spark, order: list[str], rho: DataFrame, threshold: float = 0.90)
 
 def mann_whitney(long: DataFrame, group: str, a: str, b: str) -> DataFrame:
     """U of group a against b for each feature, with medians, the tie- and continuity-corrected normal deviate and its two-sided p."""
-    x = long.where(F.col(group).isin(a, b))
-    r = average_ranks(x)
-    ties = r.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("t")).groupBy("feature").agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
+    x = long.where(F.col(group).isin(a, b) & F.col("value").isNotNull())
     is_a = F.col(group) == a
-    s = r.groupBy("feature").agg(F.count_if(is_a).alias("n1"), F.count_if(~is_a).alias("n2"), F.sum(F.when(is_a, F.col("rank"))).alias("r1"), F.median(F.when(is_a, F.col("value"))).alias("median_a"), F.median(F.when(~is_a, F.col("value"))).alias("median_b"))
-    s = s.join(ties, "feature").where("n1 >= 3 and n2 >= 3")
+    r = ranked_values(x, F.count_if(is_a).alias("of_a"))
+    s = r.groupBy("feature").agg(F.sum("of_a").alias("n1"), F.sum(F.col("peers") - F.col("of_a")).alias("n2"), F.sum(F.col("rank") * F.col("of_a")).alias("r1"), F.sum(F.pow("peers", F.lit(3)) - F.col("peers")).alias("ties"))
+    medians = x.groupBy("feature").agg(F.median(F.when(is_a, F.col("value"))).alias("median_a"), F.median(F.when(~is_a, F.col("value"))).alias("median_b"))
+    s = s.join(medians, "feature").where("n1 >= 3 and n2 >= 3")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     n = F.col("n1") + F.col("n2")
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
     d = F.abs(u - F.col("n1") * F.col("n2") / 2.0)
-    return s.select("feature", "n1", "n2", u.alias("u"), "median_a", "median_b", (F.col("median_a") - F.col("median_b")).alias("difference"), F.when(sd > 0, F.greatest(d - 0.5, F.lit(0.0)) / sd).alias("deviate")).withColumn("p", normal_tail(F.col("deviate")))
+    out = s.select("feature", "n1", "n2", u.alias("u"), "median_a", "median_b", (F.col("median_a") - F.col("median_b")).alias("difference"), F.when(sd > 0, F.greatest(d - 0.5, F.lit(0.0)) / sd).alias("deviate"))
+    return out.withColumn("p", normal_tail(F.col("deviate")))
 
 
 def adjusted_rand(pairs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ rings by parity, so holes and parts need no marks.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +57,7 @@ def _crossings(e: np.ndarray) -> np.ndarray:
 
 
 def _slabs(e: np.ndarray, owner: np.ndarray, box):
-    """For each slab inside the box: its heights, and the trapezoids' left and right ends below and above, what covers them (shapes x trapezoids), and those shapes."""
+    """For each slab inside the box: its heights, and the trapezoids' left and right ends below and above, whether a left end lies within the box, what covers them (shapes x trapezoids), and those shapes."""
     x_low, y_low, x_high, y_high = box
     levels = [e[:, 1], e[:, 3], _crossings(e)]
     for side in (x_low, x_high):  # where edges leave the box sideways
@@ -71,7 +71,7 @@ def _slabs(e: np.ndarray, owner: np.ndarray, box):
         middle = (low + high) / 2
         on = np.flatnonzero((e[:, 1] < middle) & (e[:, 3] > middle))
         if not len(on):
-            yield low, high, np.zeros(0), np.zeros(0), np.zeros((0, 0), bool), np.zeros(0, np.int64)
+            yield low, high, np.zeros(0), np.zeros(0), np.zeros(0, bool), np.zeros((0, 0), bool), np.zeros(0, np.int64)
             continue
         at = e[on, 0] + (middle - e[on, 1]) * slope[on]
         order = np.argsort(at, kind="stable")
@@ -84,7 +84,7 @@ def _slabs(e: np.ndarray, owner: np.ndarray, box):
         last = np.append(np.abs(np.diff(at)) > 1e-9 * (1 + np.abs(at[1:])), True)
         below = np.clip(e[on, 0] + (low - e[on, 1]) * slope[on], x_low, x_high)[last]
         above = np.clip(e[on, 0] + (high - e[on, 1]) * slope[on], x_low, x_high)[last]
-        yield low, high, below, above, inside[:, last], here
+        yield low, high, below, above, ((at > x_low) & (at < x_high))[last], inside[:, last], here
 
 
 def _steps(xa, va, xb, vb) -> float:
@@ -106,15 +106,14 @@ def tile_measures(shapes: list, heights: np.ndarray, known: np.ndarray, box) ->
     e, owner = _edges(shapes)
     area = length = volume = walls = known_area = 0.0
     seen = (np.zeros(0), np.zeros(0))
-    for low, high, below, above, inside, here in _slabs(e, owner, box):
+    for low, high, below, above, within, inside, here in _slabs(e, owner, box):
         tall = (inside * heights[here, None]).max(axis=0) if inside.size else np.zeros(0)
         if len(below):
             width = ((np.diff(below) + np.diff(above)) / 2) * (high - low)
             area += float(width[tall[:-1] > 0].sum())
             volume += float((width * tall[:-1]).sum())
             known_area += float(width[(inside & known[here, None])[:, :-1].any(axis=0)].sum())
-            own = (np.maximum(below, above) > box[0]) & (np.minimum(below, above) < box[2])  # lines within the box, not along its sides
-            side = np.hypot(high - low, above - below) * own
+            side = np.hypot(high - low, above - below) * within  # not along the box's own sides
             left = np.concatenate([[0.0], tall[:-1]])
             walls += float((side * np.abs(tall - left)).sum())
             length += float((side * ((tall > 0) != (left > 0))).sum())
@@ -133,7 +132,7 @@ def clip_shape(shape: list, boundary: list) -> tuple[list, float]:
     """The trapezoids of a shape inside a boundary, as rings, and their area."""
     e, owner = _edges([shape, boundary])
     rings, area = [], 0.0
-    for low, high, below, above, inside, here in _slabs(e, owner, (-np.inf, -np.inf, np.inf, np.inf)):
+    for low, high, below, above, _, inside, here in _slabs(e, owner, (-np.inf, -np.inf, np.inf, np.inf)):
         for k in np.flatnonzero(inside.all(axis=0)[:-1]).tolist() if len(here) == 2 else ():
             a, b, c, d = below[k], below[k + 1], above[k + 1], above[k]
             rings.append([{"x": float(x), "y": float(y)} for x, y in ((a, low), (b, low), (c, high), (d, high))])
@@ -157,13 +156,14 @@ def union_measures(polygons: DataFrame, tile: float = 500.0) -> DataFrame:
     dealt = polygons.where(F.size(F.flatten("rings")) > 0).select("site", "height", "known", "rings", F.explode(F.sequence(number(x0), number(x1))).alias("tx"), number(y0).alias("ty0"), number(y1).alias("ty1"))
     dealt = dealt.select("site", "height", "known", "rings", "tx", F.explode(F.sequence("ty0", "ty1")).alias("ty"))
 
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        tx, ty = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
+    def measure(table: pa.Table) -> pa.Table:
+        first = table.slice(0, 1).to_pylist()[0]
+        tx, ty = first["tx"], first["ty"]
         box = (ORIGIN + tx * tile, ORIGIN + ty * tile, ORIGIN + (tx + 1) * tile, ORIGIN + (ty + 1) * tile)
-        found = tile_measures(pdf["rings"].tolist(), pdf["height"].to_numpy(float), pdf["known"].to_numpy(bool), box)
-        return pd.DataFrame([(int(pdf["site"].iloc[0]), *found)], columns=["site", "area", "perimeter", "volume", "wall_area", "known_area"])
+        found = tile_measures(table.column("rings").to_pylist(), np.array(table.column("height").to_pylist(), float), np.array(table.column("known").to_pylist(), bool), box)
+        return pa.table({k: [v] for k, v in zip(("site", "area", "perimeter", "volume", "wall_area", "known_area"), (first["site"], *found), strict=True)})
 
-    parts = dealt.groupBy("site", "tx", "ty").applyInPandas(measure, "site long, area double, perimeter double, volume double, wall_area double, known_area double")
+    parts = dealt.groupBy("site", "tx", "ty").applyInArrow(measure, "site long, area double, perimeter double, volume double, wall_area double, known_area double")
     return parts.groupBy("site").agg(*[F.sum(c).alias(c) for c in ("area", "perimeter", "volume", "wall_area", "known_area")])
 
 
@@ -176,13 +176,15 @@ def clipped(polygons: DataFrame, boundaries: DataFrame, shares: int = 16, tolera
     own = polygons.select("site", "feature", "rings").withColumn("share", F.pmod(F.xxhash64("feature"), F.lit(shares)))
     all_ = boundaries.select("site", F.col("rings").alias("boundary"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"))
 
-    def cut(features: pd.DataFrame, boundary: pd.DataFrame) -> pd.DataFrame:
+    ring_type = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+    def cut(features: pa.Table, boundary: pa.Table) -> pa.Table:
         rows = []
-        if len(boundary):
-            limits = boundary["boundary"].iloc[0]
+        if boundary.num_rows:
+            limits = boundary.column("boundary").to_pylist()[0]
             p = np.array([(q["x"], q["y"]) for ring in limits for q in ring])
             low, high = p.min(axis=0), p.max(axis=0)
-            for site, feature, rings in zip(features["site"], features["feature"], features["rings"], strict=True):
+            for site, feature, rings in zip(*[features.column(c).to_pylist() for c in ("site", "feature", "rings")], strict=True):
                 q = np.array([(v["x"], v["y"]) for ring in rings for v in ring])
                 if not len(q) or (q.max(axis=0) < low).any() or (q.min(axis=0) > high).any():
                     continue
@@ -191,9 +193,10 @@ def clipped(polygons: DataFrame, boundaries: DataFrame, shares: int = 16, tolera
                 if area > tolerance * max(whole, 1.0):
                     within = area >= whole * (1 - tolerance)
                     rows.append((site, feature, "within" if within else "crossing", rings if within else inside))
-        return pd.DataFrame(rows, columns=["site", "feature", "part", "rings"])
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.table({k: pa.array(list(c), t) for k, c, t in zip(("site", "feature", "part", "rings"), columns, (pa.int64(), pa.int64(), pa.string(), ring_type), strict=True)})
 
-    found = own.groupBy("site", "share").cogroup(all_.groupBy("site", "share")).applyInPandas(cut, f"site long, feature long, part string, rings {RINGS}")
+    found = own.groupBy("site", "share").cogroup(all_.groupBy("site", "share")).applyInArrow(cut, f"site long, feature long, part string, rings {RINGS}")
     rest = [c for c in polygons.columns if c != "rings"]
     return polygons.select(*rest).join(found, ["site", "feature"]).select(*rest, "part", "rings")
 

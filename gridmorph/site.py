@@ -110,12 +110,17 @@ def prepared(buildings: DataFrame, boundary: DataFrame | None, cfg: AnalysisConf
     return inside, edge, fallback
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A table of some dozens of rows for a site, held by the driver: what is built on it need not repeat the work behind it."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def analyzed(spark: SparkSession, buildings: DataFrame, boundary: DataFrame | None, cfg: AnalysisConfig) -> dict[str, DataFrame]:
     """The tables of one site's analysis, by name; ``document`` is its result document (site, doc)."""
     px = cfg.pixel_size_m
     inside, edge, fallback = prepared(buildings, boundary, cfg)
-    surfaces = vector.surface_summary(inside, cfg.roof_factor).cache()
-    plan = vector.union_measures(edge.withColumns({"height": F.lit(1.0), "known": F.lit(True)})).select("site", F.col("area").alias("plan_area"), F.col("perimeter").alias("plan_perimeter")).cache()
+    surfaces = _few(vector.surface_summary(inside, cfg.roof_factor))
+    plan = _few(vector.union_measures(edge.withColumns({"height": F.lit(1.0), "known": F.lit(True)})).select("site", F.col("area").alias("plan_area"), F.col("perimeter").alias("plan_perimeter")))
     grid = raster.grid_of(raster.bounds_of(edge), px).first()  # one site
     n_rows, n_cols, min_x, max_y = int(grid["n_rows"]), int(grid["n_cols"]), grid["min_x"], grid["max_y"]
 
@@ -130,29 +135,32 @@ def analyzed(spark: SparkSession, buildings: DataFrame, boundary: DataFrame | No
 
     side = min(n_rows, n_cols)
     sizes = [int(x) for x in spark.range(1).select(fractal.box_sizes(F.lit(side).cast("long"), F.lit(px), cfg.min_box_px, cfg.max_box_fraction, cfg.min_scaling_points, cfg.scaling_scale_max_m).alias("s")).first()["s"] if x <= max(n_rows, n_cols)]
-    out = {"surfaces": surfaces, "scenarios": vector.height_scenarios(inside, cfg.height_scenarios_m, cfg.default_height_m, cfg.roof_factor), "domain": domain, "cells": cells}
-    out["box_counts"] = fractal.box_counts(cells, sizes, px).cache()
-    out["fit"] = fractal.scaling_fit(cells, sizes, px, cfg.min_scaling_points, cfg.scaling_scale_min_m, cfg.scaling_scale_max_m)
-    out["windows"] = fractal.window_fits(out["box_counts"]).where("rank <= 200")
-    out["lacunarity"] = fractal.lacunarity(cells, domain, cfg.lacunarity_windows_px or sizes, n_rows, n_cols, cfg.lacunarity_min_domain_fraction)
+    out = {"surfaces": surfaces, "scenarios": _few(vector.height_scenarios(inside, cfg.height_scenarios_m, cfg.default_height_m, cfg.roof_factor)), "domain": domain, "cells": cells}
+    out["box_counts"] = _few(fractal.box_counts(cells, sizes, px))
+    out["fit"] = _few(fractal.scaling_fit(cells, sizes, px, cfg.min_scaling_points, cfg.scaling_scale_min_m, cfg.scaling_scale_max_m))
+    if out["fit"].first()["n_points"] < cfg.min_scaling_points:
+        raise ValueError(f"the grid has {out['fit'].first()['n_points']} scales; {cfg.min_scaling_points} are needed")
+    out["windows"] = _few(fractal.window_fits(out["box_counts"], cfg.min_scaling_points).where("rank <= 200"))
+    out["lacunarity"] = _few(fractal.lacunarity(cells, domain, cfg.lacunarity_windows_px or sizes, n_rows, n_cols, cfg.lacunarity_min_domain_fraction))
     sized = plan.join(surfaces.select("site", F.col("footprint_area_m2").alias("footprint_area")), "site").withColumns({"n_rows": F.lit(n_rows).cast("long"), "n_cols": F.lit(n_cols).cast("long")})
-    out["diagnostics"] = raster.diagnostics(cells, domain, sized, px)
+    out["diagnostics"] = _few(raster.diagnostics(cells, domain, sized, px))
 
     if cfg.topology:
         radii = list(cfg.topology_radii_px) if cfg.topology_radii_px else topology.default_radii(side, cfg.topology_max_radius_fraction, cfg.topology_n_radii)
-        out["topology_profile"] = topology.domain_topology(cells, domain, radii, n_rows, n_cols, px, cfg.topology_connectivity)
-        out["topology"] = topology.domain_profile_summary(out["topology_profile"], cfg.giant_threshold, cfg.topology_connectivity)
+        out["topology_profile"] = _few(topology.domain_topology(cells, domain, radii, n_rows, n_cols, px, cfg.topology_connectivity))
+        out["topology"] = _few(topology.domain_profile_summary(out["topology_profile"], cfg.giant_threshold, cfg.topology_connectivity))
     if cfg.multifractal:
         for name, mass in (("spectrum", F.lit(1.0)), ("height_spectrum", F.col("h"))):
-            out[f"{name}_raw"] = fractal.moments(cells.withColumn("mass", mass), sizes, ORDERS, px)
-            out[name] = fractal.spectrum(out[f"{name}_raw"], cfg.min_scaling_points)
-            out[f"{name}_checks"] = fractal.spectrum_checks(out[name])
+            out[f"{name}_raw"] = _few(fractal.moments(cells.withColumn("mass", mass), sizes, ORDERS, px))
+            out[name] = _few(fractal.spectrum(out[f"{name}_raw"], cfg.min_scaling_points))
+            out[f"{name}_checks"] = _few(fractal.spectrum_checks(out[name]))
     if cfg.transport:
         coarse = transport.transport_grid(cells, domain, cfg.transport_max_active_cells).cache()
         factor = coarse.agg(F.first("factor")).first()[0]
-        out["transport_results"] = transport.conductances(coarse.select("site", "y", "x", "fraction"), -(-n_rows // factor), -(-n_cols // factor), cfg.transport_contrasts, cfg.transport_phases).withColumns({"pixel_size_m": F.lit(px * factor), "coarsening_factor": F.lit(int(factor))}).cache()
-        out["transport"] = transport.transport_summary(out["transport_results"])
-    out["document"] = _document(out, cfg, fallback)
+        out["transport_results"] = transport.conductances(coarse.select("site", "y", "x", "fraction"), -(-n_rows // factor), -(-n_cols // factor), cfg.transport_contrasts, cfg.transport_phases).withColumns({"pixel_size_m": F.lit(px * factor), "coarsening_factor": F.lit(int(factor))})
+        out["transport_results"] = _few(out["transport_results"])
+        out["transport"] = _few(transport.transport_summary(out["transport_results"]))
+    out["document"] = _few(_document(out, cfg, fallback))
     return out
 
 
@@ -234,6 +242,10 @@ def analyze(spark: SparkSession, cfg: AnalysisConfig) -> dict[str, DataFrame]:
     return tables
 
 
+#: A row of a sweep.
+RUN = "site long, pixel_size_m double, status string, D_build double, D_r2 double, D_n_points double, raster_area_error_rel double, spanning_radius_any_m double, giant_component_radius_m double, lacunarity_mean double, error string"
+
+
 def resolution_sweep(spark: SparkSession, buildings: DataFrame, boundary: DataFrame | None, cfg: AnalysisConfig, sizes: tuple[float, ...], go_on: bool = False, **limits) -> tuple[DataFrame, DataFrame]:
     """A run for each positive cell size, without transport, and the verdict on their stability. A failed run is an error, or a row if the sweep goes on."""
     runs = None
@@ -250,6 +262,6 @@ def resolution_sweep(spark: SparkSession, buildings: DataFrame, boundary: DataFr
         except ValueError as e:
             if not go_on:
                 raise
-            row = spark.createDataFrame([(0, px, "error", *[None] * 7, f"{type(e).__name__}: {e}")], runs.schema if runs is not None else "site long, pixel_size_m double, status string, D_build double, D_r2 double, D_n_points double, raster_area_error_rel double, spanning_radius_any_m double, giant_component_radius_m double, lacunarity_mean double, error string")
+            row = spark.createDataFrame([(0, px, "error", *[None] * 7, f"{type(e).__name__}: {e}")], RUN)
         runs = row if runs is None else runs.unionByName(row)
     return runs, sweep.stability(runs, points=cfg.min_scaling_points, **limits)

@@ -62,7 +62,7 @@ def selected(catalog: DataFrame, subset: str | None = None, slugs: list[str] | N
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """Polygon features of GeoJSON files: attributes as a map, polygons as rings of points, and ``rings``, all rings of a feature."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", GEOJSON).alias("d"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", GEOJSON).alias("d"))
     f = text.select("file", F.col("d.crs.properties.name").alias("crs"), F.posexplode("d.features").alias("feature", "f"))
     point = "array<array<array<double>>>"
     kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
@@ -97,7 +97,7 @@ def layer_summary(features: DataFrame) -> DataFrame:
 def read_summaries(spark: SparkSession, path: str, schema: str, name: str = "summary.json", mode: str | None = None) -> DataFrame:
     """Result documents <mode>/<subset>/<slug>/<name> below path as structs; NaN is read as such, unreadable documents are null."""
     at = path if mode is None else f"{path.rstrip('/')}/{mode}"
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).option("wholetext", True).text(at)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(at, wholetext=True)
     parts = F.split(F.col("_metadata.file_path"), "/")
     out = raw.select(F.try_element_at(parts, F.lit(-4)).alias("mode"), F.try_element_at(parts, F.lit(-3)).alias("subset"), F.try_element_at(parts, F.lit(-2)).alias("slug"), F.col("_metadata.file_path").alias("summary_path"), F.from_json("value", schema, {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}).alias("doc"))
     # a text that is no document parses to a struct of nulls: all of its sections are absent

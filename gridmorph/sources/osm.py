@@ -8,11 +8,7 @@ elements with type, id, tags and geometry.
 
 from __future__ import annotations
 
-import json
 import time
-import urllib.error
-import urllib.parse
-import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, fields
 
@@ -78,6 +74,11 @@ class _Reader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition):
+        # imported where it runs: readers travel to the workers by value
+        import json
+        import urllib.parse
+        import urllib.request
+
         settings = Settings.of(self.options)
         endpoints = [e for e in settings.endpoints.split(",") if e]
         if not endpoints:

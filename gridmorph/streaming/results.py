@@ -21,6 +21,6 @@ def windowed_counts(events: DataFrame, time: str, width: str, by: str) -> DataFr
 
 def collect_files(spark: SparkSession, path: str, schema: str, target: str, checkpoint: str):
     """Appends new summary files below path to a Parquet table once each, and stops when none is left."""
-    raw = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "summary.json").option("wholetext", True).text(path)
+    raw = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "summary.json").text(path, wholetext=True)
     parsed = raw.select(F.from_json("value", schema).alias("doc")).select("doc.*")
     return parsed.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
