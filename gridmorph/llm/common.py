@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Raw bytes that one numpy block holds at most (a longer text is a block of its own).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 #: Arrow batches of some megabytes: texts are long, and a worker holds a batch several times over.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 @contextmanager
@@ -167,6 +167,7 @@ def forget_models() -> None:
     held = _held()
     for key in set(held) - {POWERS}:
         del held[key]
+    pa.set_memory_pool(pa.system_memory_pool())  # whose freed memory can be given back
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -26,6 +26,8 @@ from .common import bounded_batches, buckets_for, forget_models, shared_dir, sli
 SHARD_SCHEMA = "shard long, doc_ids array<bigint>, ends array<bigint>, data binary, size long"
 #: Text that one shard holds, about; a longer text is a shard of its own.
 SHARD_BYTES = 1 << 19
+#: Files that the shards' table may have before the shards are dealt by bucket.
+MOST_FILES = 100_000
 #: Rows that one shard holds, about: empty texts count too.
 BLOCK_ROWS = 1 << 16
 #: Packed bytes that one bucket gets, about.
@@ -83,9 +85,12 @@ def text_shards(docs: DataFrame, carry: bool = False) -> DataFrame:
     name = f"gridmorph_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = shared_dir(spark)
+    built = rows.mapInArrow(build, schema)
+    # each task writes a file for each bucket; in sessions so wide that those would be too many, shards are dealt by the bucketing's own hash first
+    if n * n > MOST_FILES:
+        built = built.repartition(n, "shard")
     with bounded_batches(spark):
-        # dealt by the bucketing's own hash first: one file for each bucket, however many tasks read the texts
-        rows.mapInArrow(build, schema).repartition(n, "shard").write.format("parquet").bucketBy(n, "shard").option("path", path).saveAsTable(name)
+        built.write.format("parquet").bucketBy(n, "shard").option("path", path).saveAsTable(name)
     table = spark.table(name)  # analysed here: the frame needs the files, not the catalog's entry
     spark.sql(f"DROP TABLE {name}")
     return table

@@ -57,7 +57,7 @@ GRAM = 24
 CROWD = 512
 LOCAL_CROWD = 16
 #: Symbols that a shard sorts at once, about.
-SORTED_AT_ONCE = 1 << 19
+SORTED_AT_ONCE = 1 << 18
 #: Marks of the dictionary's answer.
 ALONE, LATER, CONTESTED, CROWDED = 0, 1, 2, 3
 
@@ -476,7 +476,7 @@ def repeated_bytes(docs: DataFrame, width: int = 100, carry: bool = False) -> Da
     def merge(table: pa.Table) -> pa.Table:
         return _merge_bucket(table, width)
 
-    n_merge = bucket_count(shards, 4.0)
+    n_merge = bucket_count(shards, 8.0)
     merged = parsed.drop("rows").mapInArrow(contest, sent_schema(4)).groupBy("bucket").applyInArrow(merge, "shard long, bucket int, marks binary")
     merged = stored(merged.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "marks"))).alias("merged")))
 

@@ -55,25 +55,55 @@ def test_suffix_dedup(docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == len(rows)
 
 
-def test_suffix_dedup_scatters_hot_grams(spark, monkeypatch):
+@pytest.mark.parametrize("repeats", [3, 13])
+def test_suffix_dedup_cuts_crowded_grams_again(spark, repeats):
     r = np.random.default_rng(2)
-    hot = "0123456789" * 3
-    data = [(i, "".join(r.choice(list("xyz"), 90)) + hot + "".join(r.choice(list("xyz"), 90)) if i % 3 else "q" * 90 + hot + "w" * 90) for i in range(120)]
-    got = by_id(suffix_dedup.repeated_bytes(spark.createDataFrame(data, "doc_id long, text string").repartition(2), 100), "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert got == brute.repeated_bytes(data)
+    hot = "0123456789" * repeats
 
+    def around():
+        return "".join(r.choice(list("xyz"), int(r.integers(0, 90))))
 
-def test_interleave_orders_suffixes():
+    data = [(i, around() + hot + around() if i % 3 else "q" * 90 + hot[:30] + "w" * 90) for i in range(160)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    assert by_id(suffix_dedup.repeated_bytes(docs, 100), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeated_bytes(data)
+
+
+def test_suffix_dedup_of_repeated_ids_and_long_texts(spark):
+    r = np.random.default_rng(3)
+    long = " ".join("".join(r.choice(list("abcdef"), 5)) for _ in range(60_000))
+    data = [(1, long), (2, long[200_000:200_300]), (2, "z" * 150), (None, long[:500]), (3, long)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(1)
+    got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"]) for r in suffix_dedup.repeated_bytes(docs, 100).collect())
+    # the null id comes first and keeps its text
+    assert got == [(-1, 500, 0), (1, len(long), 500), (2, 150, 149), (2, 300, 300), (3, len(long), len(long))]
+
+
+def sources(r):
+    return [[bytes(r.integers(97, 97 + r.integers(1, 4), r.integers(9, 60)).astype(np.uint8)) for _ in range(r.integers(1, 5))] for _ in range(r.integers(1, 5))]
+
+
+def test_transforms_and_their_merge():
     r = np.random.default_rng(1)
     for _ in range(30):
-        strings = [bytes(r.integers(0, 3, r.integers(1, 60)).astype(np.uint8)) for _ in range(r.integers(1, 6))]
-        data = np.frombuffer(b"".join(strings), np.uint8)
-        sizes = [len(s) for s in strings]
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        depth = int(r.integers(8, 40))
-        rank = suffix_dedup.interleave(data, ends, depth)
-        prefix = [(data[i : min(e, i + depth)].tobytes(), min(e - i, depth)) for i, e in enumerate(ends)]
-        assert all((prefix[i] == prefix[j]) == (rank[i] == rank[j]) for i in range(len(prefix)) for j in range(i))
+        shards, depth = sources(r), int(r.integers(8, 40))
+        bwt = []
+        for strings in shards:
+            size = np.array([len(x) for x in strings])
+            bwt.append(suffix_dedup.transform(np.frombuffer(b"".join(strings), np.uint8), size, np.zeros(len(strings), np.int64)))
+            suffixes = sorted((x[i:], k, i) for k, x in enumerate(strings) for i in range(len(x) + 1))
+            assert bwt[-1].tolist() == [strings[k][i - 1] + 1 if i else 0 for _, k, i in suffixes]
+        merge = suffix_dedup.Merge(np.concatenate(bwt), np.array(list(map(len, bwt))), np.array(list(map(len, shards))))
+        strings = [x for s in shards for x in s]
+        owner, offset = merge.places(np.array([len(x) for x in strings]))
+        rank, common = merge.intervals(depth)
+        prefix = [strings[k][i : i + depth] for k, i in zip(owner, offset, strict=True)]
+        own = [(p, k if len(p) < depth else -1) for p, k in zip(prefix, owner, strict=True)]  # ends differ
+        assert all((own[i] == own[j]) == (rank[i] == rank[j]) for i in range(len(own)) for j in range(i))
+        order = np.argsort(rank, kind="stable")
+        for slot, (i, j) in enumerate(zip(order, order[1:], strict=False), 1):
+            a, b = strings[owner[i]][offset[i] :], strings[owner[j]][offset[j] :]
+            shared = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            assert prefix[i] <= prefix[j] and (common[slot] == shared if common[slot] < 8 else common[slot] <= shared)
 
 
 def test_token_counts(docs, rows, empty, tmp_path):
@@ -229,9 +259,9 @@ def test_transducer_takes_the_shortest_path(docs, rows, empty):
         cost = [0.0] + [float("inf")] * len(part)
         for j in range(1, len(part) + 1):
             for i in range(j):
-                c = fst.machine.get(part[i:j], None)
+                c = fst.ids.get(part[i:j])
                 if c is not None:
-                    cost[j] = min(cost[j], cost[i] + c[1])
+                    cost[j] = min(cost[j], cost[i] + fst.costs[c])
             cost[j] = min(cost[j], cost[j - 1] + fst.byte_cost * len(part[j - 1].encode()))
         return cost[-1]
 
@@ -371,3 +401,224 @@ def test_queries_match_their_sql(spark, rows, tmp_path, name):
     columns = sorted(df.columns)
     assert sorted(want.columns) == columns
     assert sorted(map(repr, (tuple(x) for x in df.select(*columns).collect()))) == sorted(map(repr, want.project(", ".join(columns)).fetchall()))
+
+
+# --- defined cases and exactness ------------------------------------------------------
+
+
+def test_bit_packing_keeps_the_librarys_order_of_normalising(spark):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    definition = Path(tokenizer_path(WORD_BPE)).read_bytes()
+    library, own = Tokenizer.from_buffer(definition), bit_packing.WordEncoder(definition, bit_packing.words_apart(definition))
+    r = np.random.default_rng(0)
+    letters = [*"JTWHYabcXzÉéÄßΣςσİI '.,<|>0-9×÷", *map(chr, (0x30C, 0x308, 0x30A, 0x331, 0x301, 0x327, 0x338, 0x1E9E, 0x212A, 0x2126, 0xFB01, 0xA0, 0x2003, 0x85))]
+    texts = ["J\u030c", "T\u0308", "W\u030a x", "H\u0331", "<|endoftext|> A<|endoftext|>b", "", None, "x" * 500, *["".join(r.choice(letters, r.integers(0, 25))) for _ in range(3000)]]
+    for k in range(0, len(texts), 500):
+        ids, sizes = own.encode(pa.array(texts[k : k + 500]))
+        ends = np.cumsum(sizes)
+        for t, a, b in zip(texts[k : k + 500], ends - sizes, ends, strict=True):
+            assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+
+
+def thue_morse(k):
+    bits = [0]
+    for _ in range(k):
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_any_length_are_told_apart(spark):
+    a, b = thue_morse(11)
+    filler = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{filler} {a}"), (2, f"{filler} {b}")], "doc_id long, text string")
+    assert all(r["n_removed"] == 0 for r in cover_anchors.repeated_windows(docs, 35).collect())
+    five = " ".join(["p q r s", a, "p q r s", b])
+    signals = host_rules.signals(spark.createDataFrame([(1, five, "h")], "doc_id long, text string, source string")).first()
+    assert signals["n_repeat_words"] == 0
+
+
+def test_topk_of_large_components_is_exact(spark):
+    v = [(20 * i, [float(x), 3e6, -1.5]) for i, x in enumerate((1e6, -2e6, 3e6, 7.0))]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in topk_search.exact_topk(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == brute.topk(v)
+    with pytest.raises(Exception, match="too large"):
+        topk_search.exact_topk(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).count()
+
+
+def test_topk_of_odd_rows(spark):
+    v = [(0, [None, 1.0]), (0, [0.5, 0.5]), (0, []), (1, [0.2, 0.1]), (1, [0.2, 0.1]), (None, [1.0, 1.0]), (2, [float("inf"), 0.0])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(2)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in topk_search.exact_topk(df, F.col("vec_id") == 0).collect())
+    assert got == [(0, 1, 1), (0, 2, 1)]
+
+
+def test_mixing_comes_near_its_targets(spark):
+    r = np.random.default_rng(12)
+    rows = [(i, "w " * int(x), f"s{i % 4}") for i, x in enumerate(np.maximum(1, r.lognormal(4, 1.2, 400)).astype(int))]
+    plan = source_mixing.mixing_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    plan["source"] = plan["doc_id"] % 4
+    for _, own in plan.groupby("source"):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= own["size"].max() and (own["taken"] <= 3 * own["size"]).all()
+
+
+def test_host_is_rejected_by_its_own_rule(spark):
+    good, odd = " ".join(["honest"] + [f"word{i}" for i in range(30)]), " ".join(["#*$%&|<>"] + [f"word{i}" for i in range(30)])
+    rows = [(i, odd if i % 5 == 0 else good, f"h{i % 5}") for i in range(100)]
+    out = {r["doc_id"]: r for r in host_rules.with_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(not r["base_failed"] and r["kept"] == (i % 5 != 0) for i, r in out.items())
+
+
+def within(word, term, k):
+    """Optimal string alignment distance at most k."""
+    d = np.zeros((len(word) + 1, len(term) + 1), int)
+    d[:, 0], d[0] = range(len(word) + 1), range(len(term) + 1)
+    for i in range(1, len(word) + 1):
+        for j in range(1, len(term) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (word[i - 1] != term[j - 1]))
+            if i > 1 and j > 1 and word[i - 1] == term[j - 2] and word[i - 2] == term[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[-1, -1] <= k
+
+
+def test_toxicity_matches_edit_distance_by_brute_force():
+    r = np.random.default_rng(13)
+    terms = ["".join(r.choice(list("abcde"), n)) for n in (5, 6, 7, 8, 9, 11)]
+    lexicon = toxicity.Lexicon(terms, [])
+    for _ in range(4000):
+        word = list(terms[int(r.integers(0, len(terms)))])
+        for _ in range(int(r.integers(0, 4))):
+            at, kind = int(r.integers(0, len(word))), int(r.integers(0, 4))
+            if kind == 0:
+                word[at] = str(r.choice(list("abcde")))
+            elif kind == 1:
+                word.insert(at, str(r.choice(list("abcde"))))
+            elif kind == 2 and len(word) > 1:
+                del word[at]
+            elif at + 1 < len(word):
+                word[at], word[at + 1] = word[at + 1], word[at]
+        word = "".join(word)
+        if len(word) >= 4:
+            assert lexicon.near(word) == any(within(word, t, 2 if len(t) >= 8 else 1) for t in terms), word
+
+
+def test_toxicity_defined_cases(spark):
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:07d}")
+    docs = spark.createDataFrame([(i, f"plain {name(i * 7919)} {name(i * 104729)} " + ("scoundrel" if i % 4 == 0 else "gentle")) for i in range(200)] + [(0, "another text of a known id"), (None, "x")], "doc_id long, text string")
+    odd = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(1, 7), (2, -1), (3, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, odd, ~toxicity.held_out())
+    out = toxicity.scored(docs, model).collect()
+    assert len(out) == 202 and all(0 <= r["score"] <= 1 for r in out)
+    assert toxicity.scored(docs.limit(0), model).count() == 0
+    none = toxicity.fit(docs, odd.limit(0), ~toxicity.held_out())
+    assert {round(r["score"], 9) for r in toxicity.scored(docs, none).collect()} == {0.0}
+    quoted = "\"" + "a " * 400 + "scoundrel " + "b " * 400 + "\""
+    assert model.lexicon.features(quoted)[3] > 0  # a mention, however long the quotation
+
+
+def test_toxicity_ranks_held_out_rows(spark):
+    from gridmorph.llm import queries
+
+    out = queries.op9_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic"), "doc_id").toPandas()
+    pos, neg = out.loc[out["toxic"] == 1, "score"].to_numpy(), out.loc[out["toxic"] == 0, "score"].to_numpy()
+    auc = ((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2) if len(pos) and len(neg) else 1.0
+    print(f"AUC on {len(pos)} toxic and {len(neg)} other held-out rows: {auc:.3f}")
+    assert auc >= 0.9
+
+
+def test_near_dedup_recall_of_pairs(spark):
+    """All pairs at 0.8 or more, by an exact join, against the fingerprints' threshold."""
+    texts = sorted({r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect() if r["text"] and len(r["text"].split()) >= 10})
+    raw = [t.encode() for t in texts]
+    sets = [simhash.shingles(t, 5) for t in raw]
+    held = {}
+    for i, s in enumerate(sets):
+        for g in s.tolist():
+            held.setdefault(g, []).append(i)
+    shared = {}
+    for at in held.values():
+        if 1 < len(at) <= 100:
+            for x in range(len(at)):
+                for y in range(x):
+                    shared[at[y], at[x]] = shared.get((at[y], at[x]), 0) + 1
+    pairs = [p for p, n in shared.items() if n >= 0.5 * min(len(sets[p[0]]), len(sets[p[1]])) and simhash.similarity(sets[p[0]], sets[p[1]]) >= 0.8]
+    prints = {i: simhash.fingerprint(raw[i], 3) for p in pairs for i in p}
+    found = sum((prints[a] ^ prints[b]).bit_count() <= 11 for a, b in pairs) / len(pairs)
+    print(f"recall of {len(pairs)} pairs of different texts: {found:.3f}")
+    assert len(pairs) >= 20 and found >= 0.9
+
+
+def test_near_dedup_defined_cases(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(5, None), (4, ""), (3, "one two"), (2, "one two"), (None, "one two"), (7, long), (6, long + " tail"), (8, "three four"), (8, "three four")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, uid int").repartition(2)
+    kept = sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect())
+    assert kept == [2, 4, 6, 8] and simhash.deduplicated(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["token_counts", "simhash", "cover", "hosts", "mixing", "pieces", "packing"])
+def test_null_ids_repeated_ids_and_long_texts(spark, tmp_path, name):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    r = np.random.default_rng(14)
+    long = " ".join("".join(r.choice(list("abcdefé"), 5)) for _ in range(40_000))
+    rows = [(1, long), (1, "a short text"), (None, "no id here"), (2, None), (None, long[:400])]
+    docs = spark.createDataFrame([(i, t, "s", 0) for i, t in rows], "doc_id long, text string, source string, n_words int").repartition(2)
+    key = lambda i: -1 if i is None else i
+    texts = sorted((key(i), t or "") for i, t in rows)
+    if name == "token_counts":
+        sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(PIECES))
+        got = sorted((key(x["doc_id"]), x["n_tokens"]) for x in token_counts.token_counts(docs, tokenizer_path(PIECES), str(tmp_path / "c")).collect())
+        assert got == sorted((i, len(sp.encode(t))) for i, t in texts)
+    elif name == "simhash":
+        got = sorted((key(x["doc_id"]), x["fingerprint"]) for x in simhash.near_components(docs).collect())
+        assert got == sorted((i, f"{brute.simhash(t):016x}") for i, t in texts)
+    elif name == "cover":
+        got = sorted((key(x["doc_id"]), x["n_words"]) for x in cover_anchors.repeated_windows(docs).collect())
+        assert got == sorted((i, len(brute.words(t))) for i, t in texts)
+    elif name == "hosts":
+        got = sorted((key(x["doc_id"]), x["word_chars"]) for x in host_rules.with_verdicts(docs.drop("n_words")).collect())
+        assert got == sorted((i, brute.signals(t)[1]) for i, t in texts)
+    elif name == "mixing":
+        got = sorted((key(x["doc_id"]), x["size"]) for x in source_mixing.mixing_plan(docs).collect())
+        assert got == sorted((i, len(brute.words(t))) for i, t in texts)
+    elif name == "pieces":
+        sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(PIECES))
+        got = sorted((key(x["doc_id"]), x["ids_crc32"]) for x in piece_transducer.encoded(docs, tokenizer_path(PIECES)).collect())
+        assert got == sorted((i, brute.crc(sp.encode(t))) for i, t in texts)
+    else:
+        library = Tokenizer.from_file(tokenizer_path(WORD_BPE))
+        got = sorted((key(x["doc_id"]), x["ids_crc32"]) for x in bit_packing.packed_ids(docs, tokenizer_path(WORD_BPE), str(tmp_path / "f")).collect())
+        assert got == sorted((i, brute.crc([*library.encode(t, add_special_tokens=False).ids, 1])) for i, t in texts)
+
+
+def test_results_outlive_another_run(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = suffix_dedup.repeated_bytes(spark.read.parquet(str(tmp_path / "documents.parquet")), 100)
+    tables = spark.catalog.listTables()
+    first = before.count()
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert before.count() == first == len(rows) and spark.catalog.listTables() == tables
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_session_settings_stay(spark):
+    from gridmorph.llm.common import BATCHES, stored
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "777")
+    stored(spark.range(3))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "777"
+    for k in BATCHES:
+        spark.conf.unset(k)
