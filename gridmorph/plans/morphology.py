@@ -234,7 +234,7 @@ def layered_volume(spark, sf_dir):
     return raster.layered_extrusion(heights(spark, sf_dir).withColumnRenamed("h", "value"))
 
 
-@query("SELECT s.v::DOUBLE AS default_height_m, count(*) AS n, round(sum(CASE WHEN p_size % 2 = 0 THEN p_size ELSE s.v END), 6) AS volume, s.v = 12 AS is_primary FROM part, (VALUES (9.0), (12.0), (15.0)) s(v) GROUP BY 1, 4")
+@query("SELECT s.v::DOUBLE AS default_height_m, count(*) AS n, round(sum(CASE WHEN p_size % 2 = 0 THEN p_size ELSE s.v END)::DOUBLE, 6) AS volume, s.v = 12 AS is_primary FROM part, (VALUES (9.0), (12.0), (15.0)) s(v) GROUP BY 1, 4")
 def height_scenarios(spark, sf_dir):
     scenarios = F.explode(F.array_sort(F.array_distinct(F.array(F.lit(15.0), F.lit(9.0), F.lit(12.0), F.lit(9.0))))).alias("default_height_m")
     h = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("double")).otherwise(F.col("default_height_m"))
@@ -359,7 +359,7 @@ def topology_harmonized(spark, sf_dir):
     return stats.harmonized(v.withColumn("rho", F.col("bs") / F.sqrt(F.col("site") + 10.0)), "v")
 
 
-@query("SELECT n_nationkey::BIGINT AS site, (10.0 + n_nationkey) * 4 AS area, round(2 * (10.0 + n_nationkey) + 8, 6) AS perimeter, round(4 * pi() * (10.0 + n_nationkey) * 4 / pow(2 * (10.0 + n_nationkey) + 8, 2), 6) AS compactness FROM nation")
+@query("SELECT n_nationkey::BIGINT AS site, (10.0::DOUBLE + n_nationkey) * 4 AS area, round(2 * (10.0::DOUBLE + n_nationkey) + 8, 6) AS perimeter, round(4 * pi() * (10.0 + n_nationkey) * 4 / pow(2 * (10.0 + n_nationkey) + 8, 2), 6) AS compactness FROM nation")
 def polygon_area(spark, sf_dir):
     w = F.col("n_nationkey") + 10.0
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
