@@ -86,8 +86,18 @@ QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_exact
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-#: Fingerprints, library token ids, learnt scores and byte-wise repeats have none; tests hold those against brute force.
+#: Fingerprints, library token ids and learnt scores have none; tests hold those against brute force.
 SQL = {
+    "op1_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS gram FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 100)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY gram ORDER BY doc_id, i) > 1),
+bytes AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS c FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 1)) AS i FROM d)),
+marked AS (SELECT doc_id, i, c, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM bytes LEFT JOIN (SELECT *, 1 AS hit FROM later) USING (doc_id, i)),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM marked),
+out AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(c, '' ORDER BY i) FILTER (NOT gone) AS kept FROM runs GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN out USING (doc_id)
+""",
     "op3_exact_topk": """
 WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings
   WHERE len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),

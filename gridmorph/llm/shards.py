@@ -1,6 +1,6 @@
 """Text shards and packed exchanges between them.
 
-A shard holds about half a megabyte of whole texts. Shards are written once, as a
+A shard holds some hundred kilobytes of whole texts. Shards are written once, as a
 table bucketed by shard, so that answers can be joined to them again and again
 without moving the text.
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, buckets_for, forget_models, shared_dir, sliced, utf8
 
 SHARD_SCHEMA = "shard long, doc_ids array<bigint>, ends array<bigint>, data binary, size long"
-#: Text that one shard holds, about; a longer text is a shard of its own.
-SHARD_BYTES = 1 << 19
+#: Text that one shard holds, about; a longer text is a shard of its own. Rows of over half a megabyte are a burden to the JVM's collector.
+SHARD_BYTES = 400_000
 #: Files that the shards' table may have before the shards are dealt by bucket.
 MOST_FILES = 100_000
 #: Rows that one shard holds, about: empty texts count too.

@@ -382,7 +382,7 @@ def test_pipeline_stages_match_brute_force(spark):
     assert {x["doc_id"]: hashlib.sha256(x["text"].encode()).hexdigest() for x in out} == want
 
 
-@pytest.mark.parametrize("name", ["op3_exact_topk", "op4_source_mixing", "op5_cover_anchors", "op6_host_rules"])
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op3_exact_topk", "op4_source_mixing", "op5_cover_anchors", "op6_host_rules"])
 def test_queries_match_their_sql(spark, rows, tmp_path, name):
     import duckdb
 
