@@ -243,7 +243,18 @@ def links(classes: DataFrame, plan, most: int, size: int = CELL) -> DataFrame:
         a, b = forest(cell, fp.view(np.uint64), own, most)
         return pa.table({"a": fp[a], "b": fp[b]})
 
-    return dealt.groupBy("bucket").applyInArrow(verify, "a long, b long").distinct()
+    def thin(table: pa.Table) -> pa.Table:
+        """Of some fingerprints' links a spanning forest: cells repeat what other cells have linked."""
+        ends = np.concatenate([table.column("a").to_numpy(), table.column("b").to_numpy()])
+        nodes, number = np.unique(ends, return_inverse=True)
+        label = least_labels(len(nodes), number[: table.num_rows], number[table.num_rows :])
+        child = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.table({"a": nodes[child], "b": nodes[label[child]]})
+
+    found = dealt.groupBy("bucket").applyInArrow(verify, "a long, b long")
+    # a fingerprint has a link for each of its probes at most, so its links lie in one group and groups are of bounded size
+    group = F.pmod(F.xxhash64("a"), F.lit(max(1, n_rows // 4_000_000)))
+    return found.withColumn("group", group).groupBy("group").applyInArrow(lambda t: thin(t.drop_columns("group")), "a long, b long")
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
