@@ -174,8 +174,10 @@ def adjusted_rand(pairs: DataFrame) -> DataFrame:
 
 
 def silhouette(points: DataFrame, group: Column | None = None) -> DataFrame:
-    """Silhouette of each of a bounded set of points(id, vec, label): a singleton's own distance is 0. Points meet within their group."""
+    """Silhouette of each of at most MOST_SITES points(id, vec, label) a group: a singleton's own distance is 0. All pairs of a group meet."""
     points = points.withColumn("group", F.lit(0) if group is None else group)
+    if not points.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_SITES).isEmpty():
+        raise ValueError("too many points for all pairs")
     p2 = points.select("group", F.col("id").alias("id2"), F.col("vec").alias("vec2"), F.col("label").alias("label2"))
     d = F.sqrt(F.aggregate(F.zip_with("vec", "vec2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
     means = points.join(p2, "group").where("id <> id2").groupBy("id", "label", "label2").agg(F.avg(d).alias("d"))
