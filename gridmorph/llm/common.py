@@ -28,8 +28,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 1 << 19
 
 
-#: Arrow batches of some megabytes: texts are long, and a worker holds a batch several times over.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Batches of some megabytes: texts are long, and a reader or worker holds a batch several times over.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "128"}
 
 
 @contextmanager
